@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .kernels import U64, WORD, mix, slices, tokenise, windows
+from .kernels import U64, WORD, Tokens, mix, slices, tokenise, windows
 
 _SCHEMA = "doc_id long, item_id long, start_token int, end_token int, edits int"
 
@@ -32,11 +32,11 @@ class Index:
     edits: np.ndarray
     pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # piece length -> (sorted hashes, item, offset in the item)
     steps: np.ndarray  # (repetitions, samples) sampled steps as fractions of 2n
-    keys: list[np.ndarray]  # of each item, one a repetition
+    keys: np.ndarray  # (repetition, item)
 
 
-def cgk_keys(words: np.ndarray, lengths: np.ndarray, samples: np.ndarray) -> np.ndarray:
-    """Keys (repetition, window) of the padded word sequences (window, word): the sampled outputs of one walk a repetition."""
+def cgk_keys(words: np.ndarray, lengths: np.ndarray, samples: np.ndarray, first: int = 0) -> np.ndarray:
+    """Keys (repetition, window) of the padded word sequences (window, word): the sampled outputs of one walk a repetition, numbered from ``first``."""
     n, most = words.shape
     out = np.zeros((len(samples), n), U64)
     row = np.arange(n)
@@ -49,7 +49,7 @@ def cgk_keys(words: np.ndarray, lengths: np.ndarray, samples: np.ndarray) -> np.
             if hit.any():
                 at_hit = np.flatnonzero(hit)
                 out[rep, at_hit] = mix(out[rep, at_hit] * U64(31) + current[at_hit] + U64(1))
-            at += (mix(current ^ U64((rep << 32) + step * 2654435761 + 97)) & U64(1)).astype(np.int64)
+            at += (mix(current ^ U64(((rep + first) << 32) + step * 2654435761 + 97)) & U64(1)).astype(np.int64)
     return out
 
 
@@ -69,7 +69,11 @@ def build_index(ids: list[int], texts: list[str], rate: float, recall: float, ma
                 pieces.setdefault(n, []).append((int(h[p]), i, p))
     rng = np.random.default_rng(seed)
     steps = rng.random((reps, samples))
-    keys = [cgk_keys(w[None, :], np.array([len(w)]), steps)[:, 0] if len(w) else np.zeros(reps, U64) for w in words]
+    lengths = np.array([len(w) for w in words], np.int64)
+    grid = np.zeros((len(words), max(1, int(lengths.max(initial=0)))), U64)
+    for i, w in enumerate(words):
+        grid[i, : len(w)] = w
+    keys = cgk_keys(grid, lengths, steps)
     table = {}
     for n, found in pieces.items():
         found.sort()
@@ -98,9 +102,8 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return score
 
 
-def scan(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, item, start, end, edits) of the closest window of each row and item within the item's edits."""
-    tok = tokenise(texts, WORD)
+def candidates(tok: Tokens, index: Index) -> np.ndarray:
+    """(row, item, start, votes) of the windows that may be within the item's edits, by the pieces in them; votes: how many pieces put the window there."""
     rows = None
     cand: list[np.ndarray] = []
     for n, (hashes, item, offset) in index.pieces.items():
@@ -116,34 +119,55 @@ def scan(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, in
         many = hi - lo
         which = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         pos = np.repeat(at[near], many)
-        it = item[which]
-        row = rows[pos]
-        base = pos - offset[which]
+        it, row, base = item[which], rows[pos], pos - offset[which]
         for shift in range(-int(index.edits.max(initial=0)), int(index.edits.max(initial=0)) + 1):
             ok = abs(shift) <= index.edits[it]
             start = np.clip(base[ok] + shift, tok.first[:-1][row[ok]], None)
-            cand.append(np.stack([row[ok], it[ok], start], axis=1))
+            cand.append(np.stack([row[ok], it[ok], start, np.full(len(start), shift == 0)], axis=1))
     if not cand:
+        return np.zeros((0, 4), np.int64)
+    c = np.concatenate(cand)
+    found, where = np.unique(c[:, :3], axis=0, return_inverse=True)
+    return np.column_stack([found, np.bincount(where.ravel(), c[:, 3], len(found)).astype(np.int64)])
+
+
+def scan(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
+    """(row, item, start, end, edits) of the closest window of each row and item within the item's edits."""
+    size = np.array([len(w) for w in index.words], np.int64)
+    most = int(size.max(initial=0))
+    meta, grids = [], []
+    for lo, hi in slices(texts):
+        tok = tokenise(texts.slice(lo, hi - lo), WORD)
+        c = candidates(tok, index)
+        if not len(c):
+            continue
+        row, it, start, votes = c.T
+        length = np.minimum(size[it], tok.first[1:][row] - start)
+        grid = start[:, None] + np.arange(most)[None, :]
+        grids.append(np.where(np.arange(most)[None, :] < length[:, None], tok.hashes[np.minimum(grid, len(tok.hashes) - 1)], U64(0)))
+        meta.append(np.column_stack([row + lo, it, start - tok.first[:-1][row], length, votes]))
+    if not meta:
         return
-    c = np.unique(np.concatenate(cand), axis=0)
+    m, words = np.concatenate(meta), np.concatenate(grids)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    size = np.array([len(w) for w in index.words])
-    for lo in range(0, len(c), 4096):
-        part = c[lo : lo + 4096]
-        row, it, start = part.T
-        length = np.minimum(size[it], tok.first[1:][row] - start)
-        grid = start[:, None] + np.arange(int(length.max()))[None, :]
-        words = np.where(np.arange(grid.shape[1])[None, :] < length[:, None], tok.hashes[np.minimum(grid, len(tok.hashes) - 1)], U64(0))
-        # Walks are scaled by the item's length, as those of the item are.
-        keys = cgk_keys(np.pad(words, ((0, 0), (0, max(0, int(size[it].max()) - words.shape[1])))), size[it], index.steps)
-        wanted = np.stack([index.keys[i] for i in range(len(size))], axis=1)[:, it]
-        for j in np.flatnonzero((keys == wanted).any(0)).tolist():
-            i, s, n, k = int(it[j]), int(start[j]), int(length[j]), int(index.edits[it[j]])
-            d = edit_distance(index.words[i], tok.hashes[s : s + n], k)
-            if d <= k:
-                found = (d, s - int(tok.first[row[j]]), n)
-                key = (int(row[j]), i)
-                best[key] = min(best.get(key, found), found)
+    # First the window of each row and item that most pieces point to; where it is an exact copy, nothing can be closer.
+    order = np.lexsort((m[:, 2], -m[:, 4], m[:, 1], m[:, 0]))
+    m, words = m[order], words[order]
+    lead = np.append(True, (m[1:, 0] != m[:-1, 0]) | (m[1:, 1] != m[:-1, 1]))
+    for part in (np.flatnonzero(lead), np.flatnonzero(~lead)):
+        done = np.array([best.get((r, i), (1,))[0] == 0 for r, i in m[part, :2].tolist()], bool)
+        left = part[~done] if len(part) else part
+        for rep in range(len(index.steps)):
+            for at in range(0, len(left), 1 << 15):
+                some = left[at : at + (1 << 15)]
+                it = m[some, 1]
+                hit = cgk_keys(words[some], size[it], index.steps[rep : rep + 1], rep)[0] == index.keys[rep][it]
+                for r, i, s, n, _, row in np.column_stack([m[some[hit]], some[hit]]).tolist():
+                    d = edit_distance(index.words[i], words[row, :n], int(index.edits[i]))
+                    if d <= index.edits[i]:
+                        best[r, i] = min(best.get((r, i), (d, s, n)), (d, s, n))
+                left[at : at + len(some)][hit] = -1  # verified
+            left = left[left >= 0]
     for (r, i), (d, s, n) in sorted(best.items()):
         yield r, i, s, s + n, d
 
@@ -169,10 +193,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: floa
         for batch in batches:
             out: list[list[int]] = [[], [], [], [], []]
             ids = batch.column(0).to_numpy()
-            for lo, hi in slices(batch.column(1)):
-                for r, i, s, e, d in scan(batch.column(1).slice(lo, hi - lo), index):
-                    for col, x in zip(out, (int(ids[lo + r]), int(index.item_id[i]), s, e, d)):
-                        col.append(x)
+            for r, i, s, e, d in scan(batch.column(1), index):
+                for col, x in zip(out, (int(ids[r]), int(index.item_id[i]), s, e, d)):
+                    col.append(x)
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["doc_id", "item_id", "start_token", "end_token", "edits"])
 

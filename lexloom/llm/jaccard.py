@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .kernels import U64, WORD, binary_array, list_array, shingle_sets, slices, tokenise
+from .kernels import U64, WORD, binary_array, list_array, shingle_sets, shingles, slices, tokenise
 from .storage import durable
 
 _SKETCH = "doc_id long, gid long, firsts array<long>"
@@ -32,10 +32,10 @@ def _sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _common(batches: Iterator[pa.RecordBatch], n: int, least: int) -> Iterator[pa.RecordBatch]:
-    """N-grams that ``least`` documents or more of a slice have, with how many."""
+    """N-grams that stand ``least`` times or more in a slice, with how often."""
     for batch in batches:
-        for lo, hi in slices(batch.column(1), 16 << 20):
-            h, _ = _sets(batch.column(1).slice(lo, hi - lo), n)
+        for lo, hi in slices(batch.column(1), 4 << 20):
+            _, h = shingles(tokenise(batch.column(1).slice(lo, hi - lo), WORD), n)
             h.sort()
             begin = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
             size = np.diff(np.append(begin, len(h)))
@@ -43,7 +43,7 @@ def _common(batches: Iterator[pa.RecordBatch], n: int, least: int) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array(h[begin[many]].view(np.int64)), pa.array(size[many])], names=["token", "c"])
 
 
-def common_ngrams(rows: DataFrame, n: int, least: int = 4, most: int = 1 << 16) -> np.ndarray:
+def common_ngrams(rows: DataFrame, n: int, least: int = 3, most: int = 1 << 16) -> np.ndarray:
     """The commonest n-grams, ``most`` of them, by counts over all documents. Which these are steers the work, not what a pair's Jaccard is."""
     counted = rows.mapInArrow(lambda it: _common(it, n, least), "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
     top = counted.orderBy(F.desc("c"), "token").limit(most).toArrow().column("token")
@@ -92,7 +92,7 @@ def _codes(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
         for lo, hi in slices(batch.column(1)):
             part = batch.slice(lo, hi - lo)
             h, at = _sets(part.column(1), n)
-            codes = (h >> U64(32)).astype(np.uint32)  # h is sorted, so its upper halves are
+            codes = (h >> U64(12)).astype(np.uint32)  # h is sorted, so its upper halves are
             sets = binary_array(codes, at)
             groups = part.column(2)
             owner = np.repeat(np.arange(hi - lo), groups.value_lengths().to_numpy())

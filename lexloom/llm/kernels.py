@@ -110,12 +110,13 @@ def tokenise(texts: pa.Array, kind: np.ndarray = WORD) -> Tokens:
 
 
 def slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` bytes each, or of one row."""
+    """Row ranges of at most ``most`` bytes and 2**18 rows each, or of one row."""
     _, at = buffers(texts)
     lo, n = 0, len(at) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
-        yield lo, min(hi, n)
+        hi = min(hi, n, lo + (1 << 18))
+        yield lo, hi
         lo = hi
 
 
@@ -145,24 +146,31 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def shingle_sets(tokens: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-gram hashes of each row, ascending, as (values, row offsets). A row of 1..n-1 tokens has one: all its tokens."""
+def shingles(tokens: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, 44-bit hash) of every n-gram. A row of 1..n-1 tokens has one: all its tokens."""
     counts = tokens.counts
     at, h = windows(tokens, n)
     rows = tokens.rows()[at]
     short = np.flatnonzero((counts > 0) & (counts < n))
     if len(short):
         up, _ = powers(int(_SEQ), n + 1)
-        own = np.array([mix(np.array([(tokens.hashes[a:b] * up[: b - a]).sum(dtype=U64)]))[0] for a, b in zip(tokens.first[short], tokens.first[short + 1])], dtype=U64)
-        rows, h = np.concatenate([rows, short]), np.concatenate([h, own])
-    order = np.lexsort((h, rows)) if len(short) else np.argsort(h, kind="stable")
-    if not len(short):
-        order = order[np.argsort(rows[order], kind="stable")]
-    rows, h = rows[order], h[order]
-    keep = np.ones(len(h), dtype=bool)
-    keep[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
-    rows, h = rows[keep], h[keep]
-    return h, np.searchsorted(rows, np.arange(len(counts) + 1))
+        own = np.zeros(len(short), U64)
+        for k in range(n - 1):
+            has = counts[short] > k
+            own[has] += tokens.hashes[tokens.first[short[has]] + k] * up[k]
+        rows, h = np.concatenate([rows, short]), np.concatenate([h, mix(own)])
+    return rows, h >> U64(20)
+
+
+def shingle_sets(tokens: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-gram hashes of each row, ascending, as (values, row offsets). For batches of fewer than 2**20 rows."""
+    rows, h = shingles(tokens, n)
+    key = (rows.astype(U64) << U64(44)) | h
+    key.sort()
+    if len(key):
+        key = key[np.append(True, key[1:] != key[:-1])]
+    edges = np.arange(len(tokens.first)).astype(U64) << U64(44)
+    return key & U64((1 << 44) - 1), np.searchsorted(key, edges)
 
 
 def list_array(values: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -1,8 +1,9 @@
 """Operator 4: a Bradley-Terry quality classifier.
 
 Preference pairs (a clean labelled document over a bad one) are scored by a linear function; logistic
-loss on the feature differences is minimised with an L1 penalty, and documents under a quantile of the
-scores of clean labelled documents that were not trained on are rejected.
+loss on the feature differences is minimised, and documents under a quantile of the scores of clean
+labelled documents that were not trained on are rejected. Features are shape statistics of the text and
+the presence of those words that clearly more documents of one class than of the other have.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from .kernels import SPACE, WORD, binary_array, buffers, slices, tokenise
 
-HASHED = 1 << 16
 DENSE = 8
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -32,32 +32,35 @@ _LINE[10] = True
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(dense, hashed token ids, their row offsets): shape statistics and the distinct words of each text."""
     data, at = buffers(texts)
-    tok = tokenise(texts, WORD)
-    n, size = tok.counts.astype(float), np.maximum(np.diff(at).astype(float), 1.0)
+    size = np.maximum(np.diff(at).astype(float), 1.0)
 
     def share(kind: np.ndarray) -> np.ndarray:
-        c = np.zeros(len(data) + 1)
+        c = np.zeros(len(data) + 1, np.int32)
         np.cumsum(kind[data], out=c[1:])
         return (c[at[1:]] - c[at[:-1]]) / size
 
-    rows = tok.rows()
     # Words by hash of their lower-cased ASCII letters, so that shouting hides no word.
     low = tokenise(pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.where(_UPPER[data], data | 32, data))]), WORD)
-    ids = (low.hashes & np.uint64(HASHED - 1)).astype(np.int64)
-    both = np.unique(rows * HASHED + ids)
-    distinct = np.bincount(both // HASHED, minlength=len(n)).astype(float)
+    n, rows = low.counts.astype(float), low.rows()
+    key = (rows.astype(np.uint64) << np.uint64(32)) | (low.hashes >> np.uint64(32))
+    key.sort()
+    if len(key):
+        key = key[np.append(True, key[1:] != key[:-1])]
+    edges = np.searchsorted(key, np.arange(len(n) + 1).astype(np.uint64) << np.uint64(32))
+    distinct = np.diff(edges).astype(float)
     repeated = np.zeros(len(low.hashes) + 1)
     if len(low.hashes) > 1:
         repeated[2:] = np.cumsum(low.hashes[1:] == low.hashes[:-1])
-    twice = repeated[np.maximum(tok.first[1:], 1)] - repeated[np.minimum(tok.first[:-1] + 1, len(repeated) - 1)]
+    twice = repeated[np.maximum(low.first[1:], 1)] - repeated[np.minimum(low.first[:-1] + 1, len(repeated) - 1)]
     some = np.maximum(n, 1.0)
     dense = np.stack([share(_UPPER), share(_DIGIT), share(_SIGN), share(_ALPHA), share(_LINE) * 10, 1 - distinct / some, np.maximum(twice, 0) / some, np.minimum(np.log1p(n), 8) / 8], axis=1)
-    return dense, both % HASHED, np.searchsorted(both // HASHED, np.arange(len(n) + 1))
+    return dense, (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), edges
 
 
 @dataclass
 class Model:
-    weights: np.ndarray  # of hashed words
+    words: np.ndarray  # ascending hashes of the words that count
+    weights: np.ndarray
     dense: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
@@ -65,39 +68,64 @@ class Model:
 
     def score(self, texts: pa.Array) -> np.ndarray:
         dense, ids, at = features(texts)
-        return self.of(dense, ids, at)
+        return self.of(dense, *chosen_words(ids, at, self.words))
 
-    def of(self, dense: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        c = np.zeros(len(ids) + 1)
-        np.cumsum(self.weights[ids], out=c[1:])
-        return c[at[1:]] - c[at[:-1]] + np.clip((dense - self.mean) / self.scale, -8, 8) @ self.dense
+    def of(self, dense: np.ndarray, owner: np.ndarray, which: np.ndarray) -> np.ndarray:
+        return np.bincount(owner, self.weights[which], len(dense)) + np.clip((dense - self.mean) / self.scale, -8, 8) @ self.dense
 
 
-def fit(dense: np.ndarray, ids: np.ndarray, at: np.ndarray, good: np.ndarray, quantile: float, pairs: int = 20_000, steps: int = 250, l1: float = 2e-4, seed: int = 7) -> Model:
+def chosen_words(ids: np.ndarray, at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, index in ``words``) of the ids that are in ``words``."""
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    table = np.zeros(1 << 16, bool)
+    table[words & 0xFFFF] = True
+    near = np.flatnonzero(table[ids & 0xFFFF])
+    which = np.minimum(np.searchsorted(words, ids[near]), len(words) - 1)
+    same = words[which] == ids[near]
+    return np.searchsorted(at, near[same], side="right") - 1, which[same]
+
+
+def telling_words(ids: np.ndarray, at: np.ndarray, good: np.ndarray, used: np.ndarray, z: float, most: int) -> np.ndarray:
+    """Words whose document shares in the two classes differ by ``z`` standard errors or more; of more than ``most``, the clearest."""
+    owner = np.repeat(np.arange(len(good)), np.diff(at))
+    up, up_n = np.unique(ids[(good & used)[owner]], return_counts=True)
+    down, down_n = np.unique(ids[(~good & used)[owner]], return_counts=True)
+    words = np.union1d(up, down)
+    a, b = np.zeros(len(words)), np.zeros(len(words))
+    a[np.searchsorted(words, up)] = up_n
+    b[np.searchsorted(words, down)] = down_n
+    n, m = max(1, (good & used).sum()), max(1, (~good & used).sum())
+    p = (a + b) / (n + m)
+    score = np.abs(a / n - b / m) / np.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
+    clear = np.flatnonzero((score >= z) & (p < 1))
+    return np.sort(words[clear[np.argsort(-score[clear], kind="stable")[:most]]])
+
+
+def fit(dense: np.ndarray, ids: np.ndarray, at: np.ndarray, good: np.ndarray, quantile: float, z: float = 3.5, most: int = 20_000, pairs: int = 40_000, steps: int = 400, l2: float = 1e-5, seed: int = 7) -> Model:
     """Trains on four fifths of the rows and sets the threshold on the clean rows of the rest."""
     rng = np.random.default_rng(seed)
-    m = Model(np.zeros(HASHED), np.zeros(dense.shape[1]), dense.mean(0) if len(dense) else np.zeros(DENSE), (dense.std(0) if len(dense) else np.zeros(DENSE)) + 1e-6)
     held = rng.random(len(good)) < 0.2
+    words = telling_words(ids, at, good, ~held, z, most)
+    m = Model(words, np.zeros(len(words)), np.zeros(DENSE), dense.mean(0) if len(dense) else np.zeros(DENSE), (dense.std(0) if len(dense) else np.zeros(DENSE)) + 1e-6)
     up, down = np.flatnonzero(good & ~held), np.flatnonzero(~good & ~held)
     if not len(up) or not len(down):
         return m
     a, b = rng.choice(up, pairs), rng.choice(down, pairs)
-    z = np.clip((dense - m.mean) / m.scale, -8, 8)
-    owner = np.repeat(np.arange(len(good)), np.diff(at))
+    x = np.clip((dense - m.mean) / m.scale, -8, 8)
+    owner, which = chosen_words(ids, at, words)
     params = [m.weights, m.dense]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, steps + 1):
-        s = m.of(dense, ids, at)
+        s = m.of(dense, owner, which)
         g = -1.0 / (1.0 + np.exp(np.clip(s[a] - s[b], -30, 30))) / pairs  # derivative of the logistic loss by the margin
         by_row = np.bincount(a, g, len(good)) - np.bincount(b, g, len(good))
-        grads = [np.bincount(ids, by_row[owner], HASHED), by_row @ z]
-        rate = 0.05 * min(1.0, 3.0 * (1 - (t - 1) / steps))
+        grads = [np.bincount(which, by_row[owner], len(words)) + l2 * m.weights, by_row @ x + l2 * m.dense]
         for p, d, f1, f2 in zip(params, grads, first, second):
             f1 += 0.1 * (d - f1)
             f2 += 0.01 * (d * d - f2)
-            p -= rate * (f1 / (1 - 0.9**t)) / (np.sqrt(f2 / (1 - 0.99**t)) + 1e-5)
-        m.weights[:] = np.sign(m.weights) * np.maximum(np.abs(m.weights) - rate * l1 * 50, 0)
-    s = m.of(dense, ids, at)
+            p -= 0.05 * (f1 / (1 - 0.9**t)) / (np.sqrt(f2 / (1 - 0.99**t)) + 1e-7)
+    s = m.of(dense, owner, which)
     clean = s[good & held] if (good & held).any() else s[good]
     m.threshold = float(np.quantile(clean, quantile)) - 1e-9
     return m
@@ -108,10 +136,10 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in slices(batch.column(1)):
             part = batch.slice(lo, hi - lo)
             dense, ids, at = features(part.column(1))
-            yield pa.RecordBatch.from_arrays([part.column(0), binary_array(dense.reshape(-1), np.arange(hi - lo + 1) * DENSE), binary_array(ids.astype(np.uint16), at)], names=["good", "dense", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column(0), binary_array(dense.reshape(-1), np.arange(hi - lo + 1) * DENSE), binary_array(ids, at)], names=["good", "dense", "ids"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, quantile: float = 0.002, l1: float = 2e-4) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, quantile: float = 0.004) -> Model:
     """Fits on a bounded sample: at most ``sample`` labelled documents of either class, the first by hash of their id.
 
     A label is clean where quality = 1 and toxic = 0; one with a null in either column is left out. An id
@@ -130,20 +158,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, quantile: floa
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = pd.concat([*batches, pd.DataFrame({"good": [], "dense": [], "ids": []})])
         got = got.assign(key=[d + i for d, i in zip(got.dense, got.ids)]).sort_values(["good", "key"])  # whatever order the rows arrive in
-        lists = [np.frombuffer(x, np.uint16).astype(np.int64) for x in got.ids]
+        lists = [np.frombuffer(x, np.uint32) for x in got.ids]
         at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
         dense = np.frombuffer(b"".join(got.dense), np.float64).reshape(-1, DENSE)
-        m = fit(dense, np.concatenate([*lists, np.zeros(0, np.int64)]), at, got.good.to_numpy(bool), quantile, l1=l1)
-        yield pd.DataFrame({"model": [np.concatenate([m.weights, m.dense, m.mean, m.scale, [m.threshold]]).astype(np.float64).tobytes()]})
+        m = fit(dense, np.concatenate([*lists, np.zeros(0, np.uint32)]), at, got.good.to_numpy(bool), quantile)
+        yield pd.DataFrame({"model": [np.concatenate([m.words, m.weights, m.dense, m.mean, m.scale, [m.threshold]]).astype(np.float64).tobytes()]})
 
     flat = np.frombuffer(rows.repartition(1).mapInPandas(one, "model binary").first()["model"], np.float64)
-    at = np.cumsum([HASHED, DENSE, DENSE, DENSE])
-    return Model(*np.split(flat[:-1], at[:-1]), float(flat[-1]))
+    k = (len(flat) - 3 * DENSE - 1) // 2
+    return Model(flat[:k].astype(np.uint32), flat[k : 2 * k], *flat[2 * k : -1].reshape(3, DENSE), float(flat[-1]))
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, keep) of every row with an id; a null text counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # HASHED weights, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 20,000 words at most, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
