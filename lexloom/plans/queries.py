@@ -1,6 +1,459 @@
-def queries():
-    return {}
+"""The queries of the library's own operators over the given tables, each with the SQL that checks it."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+from functools import cache
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from .. import data
+from ..functions import answers as A, metrics as M, text as T
+from ..functions.chunking import chunks
+from ..functions.embedding import hash_embedding
+from ..functions.language import detect_language, has_bangla, marker_count, normalize_romanised, transliterate
+from ..operators.dedup import first_of_each, not_in
+from ..operators.fusion import fuse, hybrid, minmax
+from ..operators.keyword import build_index, keyword_search
+from ..operators.rerank import lexical_rerank
+from ..operators.vectors import norm, similarity, vector_search
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+DIGITS = 6
+#: Questions in several scripts, for what the tables have no text of.
+TEXTS = [
+    (0, "Bangladesh er rajdhani kothay?"), (1, "ঢাকা বাংলাদেশের রাজধানী।"), (2, "The capital of Bangladesh is Dhaka."), (3, "ঢাকা is the capital"), (4, "12345 !?"), (5, "   "), (6, "ki"), (7, "ami bhalo achi"),
+    (8, "who wrote this book?"), (9, "কোথায় পদ্মা নদী?"), (10, "bhaloooo achho"), (11, "what is a river"),
+]
+QUESTION = "the thin tion of ered and the"
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text", "lang", "source")
+
+
+def _texts(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TEXTS, "id long, text string")
+
+
+def _q(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+VALUES = "v(id, text) AS (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), {_q(t)})" for i, t in TEXTS) + ")"
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_\x{{0980}}-\x{{09FF}}]+')"
+_LIST = lambda ws: "[" + ", ".join(_q(w) for w in ws) + "]"
+words_sql = _WORDS.format
+
+# Tokens and statistics
+
+
+@query(f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({words_sql('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
+def tok_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_index(_docs(spark, sf_dir)).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query(f"SELECT doc_id, CAST(len({words_sql('text')}) AS BIGINT) AS dl FROM documents")
+def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), F.size(T.tokens(F.col("text"))).cast("long").alias("dl"))
+
+
+@query(f"SELECT count(*) AS n, round(avg(len({words_sql('text')})), 6) AS avgdl FROM documents")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_index(_docs(spark, sf_dir)).stats.select("n", F.round("avgdl", DIGITS).alias("avgdl"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\x{200B}\x{200C}\x{200D}\x{FEFF}]', '', 'g'), '\s+', ' ', 'g')) AS normalized FROM documents")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), T.normalize(F.col("text")).alias("normalized"))
+
+
+_NORM = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT min(doc_id) AS doc_id, sha256({_NORM}) AS content_hash FROM documents GROUP BY 2")
+def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir).select("seq", T.content_hash(T.normalize(F.col("text"))).alias("content_hash"))
+    return first_of_each(rows).select(F.col("seq").alias("doc_id"), "content_hash")
+
+
+@query(f"SELECT doc_id FROM documents WHERE lang = 'en' AND sha256({_NORM}) NOT IN (SELECT sha256({_NORM}) FROM documents WHERE lang <> 'en' OR source = 'src0')")
+def dedup_vs_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir).withColumn("content_hash", T.content_hash(T.squeeze(F.col("text"))))
+    return not_in(rows.where("lang = 'en'"), rows.where("lang <> 'en' OR source = 'src0'")).select(F.col("seq").alias("doc_id"))
+
+
+@query(f"SELECT doc_id, sha256({_NORM}) AS content_hash, substr(sha1(text || '|' || source), 1, 16) AS document_id, substr(sha1(substr(sha1(text || '|' || source), 1, 16) || '|0'), 1, 16) AS chunk_id FROM documents")
+def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = T.document_id(F.col("text"), F.col("source"))
+    return _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), T.content_hash(T.squeeze(F.col("text"))).alias("content_hash"), doc.alias("document_id"), T.chunk_id(doc, F.lit(0)).alias("chunk_id"))
+
+
+# Languages
+
+_MAP = "map {" + ", ".join(f"{_q(a)}: {_q(b)}" for a, b in sorted(data.mapping("variants").items())) + "}"
+_MARK = _LIST(data.words("markers"))
+
+
+def _language_sql(source: str) -> str:
+    return f"""l AS (SELECT id, text, regexp_matches(text, '[\\x{{0980}}-\\x{{09FF}}]') AS bn, regexp_matches(text, '[A-Za-z]') AS la, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x)) AS w FROM {source}),
+f AS (SELECT *, list_transform(w, lambda x: coalesce({_MAP}[x], x)) AS fw FROM l),
+m AS (SELECT *, CAST(len(list_intersect(list_distinct(list_concat(w, fw)), {_MARK})) AS BIGINT) AS markers, len(list_filter(range(1, len(w) + 1), lambda i: list_contains({_MARK}, w[i]) OR list_contains({_MARK}, fw[i]))) AS hits FROM f),
+lang AS (SELECT id, markers, CASE WHEN bn AND la THEN 'mixed' WHEN bn THEN 'bn' WHEN la THEN CASE WHEN markers >= 2 OR (hits > 0 AND hits::DOUBLE / len(w) >= 0.4) THEN 'banglish' ELSE 'en' END ELSE 'unknown' END AS language FROM m)"""
+
+
+@query(f"WITH {_language_sql('(SELECT doc_id AS id, text FROM documents)')} SELECT id AS doc_id, language FROM lang")
+def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), detect_language(F.col("text")).alias("language"))
+
+
+@query(f"WITH {VALUES}, {_language_sql('v')} SELECT id, language FROM lang")
+def lang_detect_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark).select("id", detect_language(F.col("text")).alias("language"))
+
+
+@query(f"WITH {_language_sql('(SELECT doc_id AS id, text FROM documents)')} SELECT language, count(*) AS n FROM lang GROUP BY language")
+def lang_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_detect(spark, sf_dir).groupBy("language").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_language_sql('(SELECT doc_id AS id, text FROM documents)')} SELECT id AS doc_id, markers FROM lang")
+def lang_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), marker_count(F.col("text")).cast("long").alias("markers"))
+
+
+@query(f"WITH {VALUES} SELECT id, regexp_matches(text, '[\\x{{0980}}-\\x{{09FF}}]') AS bangla FROM v")
+def bangla_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark).select("id", has_bangla(F.col("text")).alias("bangla"))
+
+
+_FOLDED = {0: "bangladesh er rajdhani kothay?", 6: "ki", 10: "bhalo acho"}
+_TRANSLIT = {0: "বাংলাদেশ এর রাজধানী কোথায়?", 6: "কি"}
+
+
+@query()
+def translit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark).select("id", transliterate(F.col("text")).alias("bangla"), normalize_romanised(F.col("text")).alias("folded"))
+
+
+@query()
+def chunk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), F.posexplode(chunks(F.col("text"))).alias("chunk_index", "text"))
+
+
+@query()
+def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), hash_embedding(F.col("text"), 256).alias("embedding"))
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(trim(text, E' \n\t\r'), '([।.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS n FROM documents")
+def sentence_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), F.size(T.sentences(F.col("text"))).cast("long").alias("n"))
+
+
+# Keyword search
+
+
+def _bm25_sql(queries: str, k: int, keep: str = "TRUE") -> str:
+    """``queries``: a relation (qid, query)."""
+    return f"""tok AS (SELECT doc_id, unnest({words_sql('text')}) AS term FROM documents), dl AS (SELECT doc_id, len({words_sql('text')}) AS dl FROM documents),
+st AS (SELECT count(*) AS n, avg(dl) AS a FROM dl), tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+idf AS (SELECT term, ln(1 + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM tf, st GROUP BY term, n),
+qt AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({words_sql('query')}) AS term FROM {queries}) GROUP BY ALL), kq AS (SELECT qid, term, times, idf FROM qt JOIN idf USING (term)),
+ideal AS (SELECT qid, sum(times * idf * 2.5::DOUBLE) AS ideal FROM kq GROUP BY qid),
+raw AS (SELECT qid, doc_id, sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / a))) AS raw FROM kq JOIN tf USING (term) JOIN dl USING (doc_id), st GROUP BY ALL),
+sc AS (SELECT qid, doc_id, round(raw / ideal, 6) AS score FROM raw JOIN ideal USING (qid) JOIN documents USING (doc_id) WHERE raw > 0 AND {keep}),
+kw AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INT) AS rank FROM sc QUALIFY rank <= {k})"""
+
+
+_ONE = f"(SELECT CAST(0 AS BIGINT) AS qid, {_q(QUESTION)} AS query)"
+_BENCH = "(SELECT item_id AS qid, text AS query FROM benchmark)"
+
+
+def _one(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(0, QUESTION)], "qid long, query string")
+
+
+def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+def _found(df: DataFrame) -> DataFrame:
+    return df.select("qid", F.col("seq").alias("doc_id"), "score", "rank")
+
+
+@query(f"WITH {_bm25_sql(_ONE, 20)} SELECT * FROM kw")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(keyword_search(_docs(spark, sf_dir), _one(spark), 20, digits=DIGITS))
+
+
+@query(f"WITH {_bm25_sql(_BENCH, 10)} SELECT * FROM kw")
+def bm25_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(keyword_search(_docs(spark, sf_dir), _bench(spark, sf_dir), 10, digits=DIGITS))
+
+
+@query(f"WITH {_bm25_sql(_BENCH, 10, chr(39).join(['lang = ', 'en', ' AND source = ', 'src3', '']))} SELECT * FROM kw")
+def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(keyword_search(_docs(spark, sf_dir), _bench(spark, sf_dir), 10, (F.col("lang") == "en") & (F.col("source") == "src3"), digits=DIGITS))
+
+
+# Vectors: the first hundred ids ask, all rows answer (knn_batch: all ask)
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "embeddings").withColumn("seq", F.col("vec_id"))
+
+
+def _asked(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("seq").alias("qid"), "embedding")
+
+
+_SIM = {"cosine": "list_cosine_similarity(a.e, b.e)", "dot": "list_inner_product(a.e, b.e)", "euclidean": "1 / (1 + list_distance(a.e, b.e))"}
+
+
+def _knn_sql(metric: str, k: int, keep: str = "TRUE") -> str:
+    return f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT a.vec_id AS qid, b.vec_id, round({_SIM[metric]}, 5) AS score FROM v a, v b WHERE {keep})
+SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS INT) AS rank FROM s QUALIFY rank <= {k}"""
+
+
+def _knn(metric: str, k: int = 10) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _vectors(spark, sf_dir)
+        return vector_search(rows, _asked(rows), k, metric, digits=5).select("qid", F.col("seq").alias("vec_id"), "score", "rank")
+
+    return run
+
+
+for _metric in _SIM:
+    _QUERIES[f"vec_{_metric}_topk"], _SQL[f"vec_{_metric}_topk"] = _knn(_metric), _knn_sql(_metric, 10)
+
+
+@query(_knn_sql("cosine", 10, "b.label = 3"))
+def vec_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    return vector_search(rows.where("label = 3"), _asked(rows), 10, digits=5).select("qid", F.col("seq").alias("vec_id"), "score", "rank")
+
+
+@query(_knn_sql("cosine", 5, "a.vec_id <> b.vec_id"))
+def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    return vector_search(rows, _asked(rows), 5, digits=5, skip_self=True).select("qid", F.col("seq").alias("vec_id"), "score", "rank")
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
+def vec_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).select("vec_id", F.round(norm(F.col("embedding")), DIGITS).alias("norm"))
+
+
+@query("WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT label, min(vec_id) AS id FROM v GROUP BY label) SELECT a.vec_id, round(list_cosine_similarity(a.e, b.e), 5) AS cosine, round(list_inner_product(a.e, b.e), 5) AS dot, round(1 / (1 + list_distance(a.e, b.e)), 5) AS euclidean FROM v a JOIN c USING (label) JOIN v b ON b.vec_id = c.id")
+def vec_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    first = rows.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("other"))
+    return rows.join(first, "label").select("vec_id", *[F.round(similarity(F.col("embedding"), F.col("other"), m), 5).alias(m) for m in _SIM])
+
+
+# Fusion, reranking, thresholds: the keyword list and the vector list of vec_id = doc_id, queries the benchmark's
+
+_VEC = "vc AS (SELECT a.vec_id AS qid, b.vec_id AS doc_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS score FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT item_id FROM benchmark)), vs AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INT) AS rank FROM vc QUALIFY rank <= 15)"
+_LISTS = f"WITH {_bm25_sql(_BENCH, 15)}, {_VEC}, ls AS (SELECT qid, 0 AS list, doc_id, score, rank FROM vs UNION ALL SELECT qid, 1, doc_id, score, rank FROM kw)"
+_MINMAX = "mm AS (SELECT *, CASE WHEN max(greatest(score, 0)) OVER w - min(greatest(score, 0)) OVER w < 1e-12 THEN 1.0 ELSE (greatest(score, 0) - min(greatest(score, 0)) OVER w) / (max(greatest(score, 0)) OVER w - min(greatest(score, 0)) OVER w) END AS m FROM ls WINDOW w AS (PARTITION BY qid, list))"
+_ORDER = "CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, place) AS INT) AS rank"
+_WEIGHTED = f"{_LISTS}, {_MINMAX}, fu AS (SELECT qid, doc_id, round(sum(CASE list WHEN 0 THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END * m), 6) AS score, min(list * 1000 + rank) AS place FROM mm GROUP BY ALL), fr AS (SELECT qid, doc_id, score, {_ORDER} FROM fu)"
+
+
+def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows, queries = _vectors(spark, sf_dir), _bench(spark, sf_dir)
+    asked = _asked(rows).join(queries.select("qid"), "qid", "left_semi")
+    return vector_search(rows, asked, 15, digits=5), keyword_search(_docs(spark, sf_dir), queries, 15, digits=DIGITS)
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = lambda df, n: df.select("qid", F.lit(n).alias("list"), F.col("seq").alias("key"), "seq", "score", "rank")
+    semantic, keyword = _two(spark, sf_dir)
+    return tag(semantic, 0).unionByName(tag(keyword, 1))
+
+
+@query(f"{_LISTS}, {_MINMAX} SELECT qid, list, doc_id, round(m, 6) AS m FROM mm")
+def minmax_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lists(spark, sf_dir).select("qid", "list", F.col("seq").alias("doc_id"), F.round(minmax(F.col("score"), "qid", "list"), DIGITS).alias("m"))
+
+
+@query(f"{_WEIGHTED} SELECT * FROM fr")
+def fuse_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(fuse(_lists(spark, sf_dir), [0.7, 0.3], digits=DIGITS))
+
+
+@query(f"{_LISTS}, fu AS (SELECT qid, doc_id, sum(CASE list WHEN 0 THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END / (60 + rank)) AS s, min(list * 1000 + rank) AS place FROM ls GROUP BY ALL), fs AS (SELECT qid, doc_id, place, round(s / max(s) OVER (PARTITION BY qid), 6) AS score FROM fu) SELECT qid, doc_id, score, {_ORDER} FROM fs")
+def fuse_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(fuse(_lists(spark, sf_dir), [0.7, 0.3], "rrf", digits=DIGITS))
+
+
+@query(f"{_WEIGHTED} SELECT * FROM fr WHERE rank <= 5")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(hybrid(*_two(spark, sf_dir), k=5, digits=DIGITS))
+
+
+@query(f"{_WEIGHTED} SELECT * FROM fr WHERE rank <= 10 AND score >= 0.5")
+def threshold_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(hybrid(*_two(spark, sf_dir), k=10, digits=DIGITS)).where("score >= 0.5")
+
+
+_DICE = f"a AS (SELECT kw.qid, kw.doc_id, kw.score, kw.rank, list_distinct({words_sql('b.text')}) AS x, list_distinct({words_sql('d.text')}) AS y FROM kw JOIN benchmark b ON b.item_id = kw.qid JOIN documents d USING (doc_id)), r AS (SELECT qid, doc_id, rank, round(0.5::DOUBLE * score + 0.5::DOUBLE * (2.0::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y))), 6) AS s FROM a)"
+
+
+@query(f"WITH {_bm25_sql(_BENCH, 25)}, {_DICE} SELECT qid, doc_id, s AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY s DESC, rank) AS INT) AS rank FROM r QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, r.rank) <= 5")
+def rerank_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, queries = _docs(spark, sf_dir), _bench(spark, sf_dir)
+    found = keyword_search(docs, queries, 25, digits=DIGITS).join(docs.select("seq", "text"), "seq").join(queries, "qid")
+    return _found(lexical_rerank(found, k=5, digits=DIGITS))
+
+
+# Ranking metrics: a row's nearest ones, relevant where they have its label
+
+_RANKED = f"WITH k AS ({_knn_sql('cosine', 10, 'a.vec_id <> b.vec_id')}), rl AS (SELECT qid, list(vec_id ORDER BY rank) AS ranked FROM k GROUP BY qid), rel AS (SELECT a.vec_id AS qid, list(b.vec_id) AS relevant FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1), j AS (SELECT * FROM rl JOIN rel USING (qid))"
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    near = vector_search(rows, _asked(rows), 10, digits=5, skip_self=True)
+    ranked = near.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "seq"))), lambda x: x["seq"]).alias("ranked"))
+    groups = rows.groupBy("label").agg(F.collect_list("vec_id").alias("ids"))
+    own = rows.join(groups, "label").select(F.col("vec_id").alias("qid"), F.filter("ids", lambda x: x != F.col("vec_id")).alias("relevant"))
+    return ranked.join(own.where(F.size("relevant") > 0), "qid")
+
+
+def _metric(value: Callable[[Column, Column], Column]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _ranked(spark, sf_dir).select("qid", F.round(value(F.col("relevant"), F.col("ranked")), DIGITS).alias("value"))
+
+
+_DCG = "list_sum(list_transform(range(1, 6), lambda i: CASE WHEN list_contains(relevant, ranked[i]) THEN 1 / log2(i + 1) ELSE 0.0::DOUBLE END)) / list_sum(list_transform(range(1, least(5, len(relevant)) + 1), lambda i: 1 / log2(i + 1)))"
+for _name, _f, _s in [
+    ("metrics_hit", lambda r, k: M.hit_at_k(r, k, 5), "CAST(list_has_any(ranked[1:5], relevant) AS DOUBLE)"),
+    ("metrics_recall", lambda r, k: M.recall_at_k(r, k, 5), "len(list_intersect(ranked[1:5], relevant))::DOUBLE / len(relevant)"),
+    ("metrics_mrr", M.reciprocal_rank, "coalesce(1::DOUBLE / list_min(list_filter(range(1, len(ranked) + 1), lambda i: list_contains(relevant, ranked[i]))), 0)"),
+    ("metrics_ndcg", lambda r, k: M.ndcg_at_k(r, k, 5), _DCG),
+]:
+    _QUERIES[_name], _SQL[_name] = _metric(_f), f"{_RANKED} SELECT qid, round({_s}, 6) AS value FROM j"
+
+
+@query(f"{_RANKED} SELECT round(avg(CAST(list_has_any(ranked[1:5], relevant) AS DOUBLE)), 5) AS hit, round(avg({_DCG}), 5) AS ndcg, count(*) AS n FROM j")
+def metrics_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, k = F.col("relevant"), F.col("ranked")
+    return _ranked(spark, sf_dir).agg(F.round(F.avg(M.hit_at_k(r, k, 5)), 5).alias("hit"), F.round(F.avg(M.ndcg_at_k(r, k, 5)), 5).alias("ndcg"), F.count("*").alias("n"))
+
+
+# Collections, prompts and answers: conversations give questions, answers and evidence
+
+
+@query("SELECT source, count(DISTINCT doc_id) AS documents, count(*) AS chunks, count(DISTINCT lang) AS languages FROM documents GROUP BY source")
+def collection_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).groupBy("source").agg(F.count_distinct("seq").alias("documents"), F.count("*").alias("chunks"), F.count_distinct("lang").alias("languages"))
+
+
+@query("SELECT d.doc_id, d.lang FROM documents d JOIN labels l USING (doc_id) WHERE d.lang = 'en' AND l.quality = 1 AND l.toxic = 0")
+def metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.filters import encode, matches
+
+    rows = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id")
+    text = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)  # noqa: E731 - the JSON of a value
+    meta = F.create_map(F.lit("lang"), text(F.col("lang")), F.lit("quality"), text(F.col("quality")), F.lit("toxic"), text(F.col("toxic")))
+    assert encode(1.0) == "1"
+    return rows.withColumn("metadata", meta).where(matches(F.col("metadata"), {"lang": "en", "quality": 1.0, "toxic": 0})).select("doc_id", "lang")
+
+
+@query("SELECT conv_id, string_agg('[' || n || '] (' || coalesce(nullif(role, ''), 'unknown') || ', page ' || turn || ') ' || text, chr(10) ORDER BY n) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations WHERE text IS NOT NULL) GROUP BY conv_id")
+def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = F.struct("turn", "text", F.col("role").alias("source"), F.col("turn").cast("int").alias("page"))
+    rows = _t(spark, sf_dir, "conversations").where("text IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(turns)).alias("p"))
+    return rows.select("conv_id", A.format_context(F.col("p")).alias("context"))
+
+
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, answer, expected, evidence): each turn, cited as [1] and [9], against the turns before it."""
+    w = W.partitionBy("conv_id").orderBy("turn", "text")
+    rows = _t(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    rows = rows.withColumn("evidence", F.collect_list("text").over(w.rowsBetween(W.unboundedPreceding, -1))).withColumn("expected", F.coalesce(F.lag("text").over(w), F.lit("")))
+    return rows.select("conv_id", "turn", F.concat("text", F.lit(" [1] [9]")).alias("answer"), "expected", "evidence")
+
+
+_STOP = _LIST(data.words("stopwords"))
+_SET = lambda x: f"list_filter(list_distinct({words_sql(x)}), lambda t: NOT regexp_matches(t, '^[0-9]+$'))"
+_SAID = f"""WITH s AS (SELECT conv_id, turn, text || ' [1] [9]' AS answer, coalesce(lag(text) OVER w, '') AS expected, list(text) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS evidence, text FROM conversations WHERE text IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)),
+c AS (SELECT conv_id, turn, answer, expected, coalesce(evidence, []) AS evidence, text, list_filter({_SET('text')}, lambda t: NOT list_contains({_STOP}, t)) AS words, list_filter({_SET('expected')}, lambda t: NOT list_contains({_STOP}, t)) AS want, {_SET('text')} AS have FROM s),
+e AS (SELECT *, list_transform(evidence, lambda p: len(list_intersect(words, {_SET('p')}))) AS o FROM c)"""
+
+
+@query(f"{_SAID} SELECT conv_id, turn, round(CASE WHEN expected = '' THEN 0.0 WHEN len(want) = 0 THEN CAST(contains(lower(trim(text)), lower(trim(expected))) AS DOUBLE) ELSE len(list_intersect(want, have))::DOUBLE / len(want) END, 6) AS accuracy FROM c")
+def answer_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _said(spark, sf_dir).select("conv_id", "turn", F.round(M.answer_accuracy(F.col("answer"), F.col("expected"), "token"), DIGITS).alias("accuracy"))
+
+
+@query(f"{_SAID} SELECT conv_id, turn, CASE WHEN len(evidence) = 0 THEN 0.0::DOUBLE WHEN len(words) = 0 THEN 1.0::DOUBLE ELSE CAST(len(list_filter(o, lambda x: x >= least(2, len(words)))) > 0 AS DOUBLE) END AS faithful FROM e")
+def faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _said(spark, sf_dir).select("conv_id", "turn", M.faithfulness(F.col("answer"), F.col("evidence")).alias("faithful"))
+
+
+@query(f"{_SAID} SELECT conv_id, turn, CASE WHEN len(evidence) = 0 THEN 0.0::DOUBLE ELSE (CAST(o[1] > 0 AS INT) + CASE WHEN len(o) >= 9 THEN CAST(o[9] > 0 AS INT) ELSE 0 END) / 2.0::DOUBLE END AS cited FROM e")
+def citation_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _said(spark, sf_dir).select("conv_id", "turn", M.citation_accuracy(F.col("answer"), F.col("evidence")).alias("cited"))
+
+
+_REFUSALS = [(0, A.REFUSE_EN, True), (1, A.REFUSE_BN, True), (2, "I don't know.", True), (3, "Dhaka [1]", False), (4, "UNABLE TO ANSWER", False), (5, "There is no relevant evidence here", True), (6, "", False)]
+
+
+@query("WITH r(id, answer, expected) AS (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), {_q(a)}, {e})" for i, a, e in _REFUSALS) + f") SELECT id, regexp_matches(answer, {_q(M.REFUSAL)}, 'i') AS refused, CAST(regexp_matches(answer, {_q(M.REFUSAL)}, 'i') = expected AS DOUBLE) AS accuracy FROM r")
+def refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(_REFUSALS, "id long, answer string, expected boolean")
+    return rows.select("id", M.is_refusal(F.col("answer")).alias("refused"), M.refusal_accuracy(F.col("answer"), F.col("expected")).alias("accuracy"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '\\[[0-9]+\\]') THEN text ELSE text || ' [1]' END AS answer FROM conversations")
+def ensure_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", M.ensure_citation(F.col("text")).alias("answer"))
+
+
+@query(f"WITH {_bm25_sql(_BENCH, 1)} SELECT item_id AS qid, CASE WHEN score IS NULL OR score < 0.9 THEN {_q(A.REFUSE_EN)} ELSE d.text END AS answer FROM benchmark b LEFT JOIN kw ON kw.qid = b.item_id LEFT JOIN documents d USING (doc_id)")
+def refusal_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, queries = _docs(spark, sf_dir), _bench(spark, sf_dir)
+    best = keyword_search(docs, queries, 1, digits=DIGITS).join(docs.select("seq", "text"), "seq").select("qid", "score", "text")
+    return queries.join(best, "qid", "left").select("qid", F.when(F.col("score") >= 0.9, F.col("text")).otherwise(A.refusal(F.col("query"))).alias("answer"))
+
+
+_TYPES = ["where", "other", "other", "other", "other", "other", "what", "other", "who", "where", "other", "what"]
+
+
+@query("WITH t(id, kind) AS (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{k}')" for i, k in enumerate(_TYPES)) + ") SELECT * FROM t")
+def question_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark).select("id", A.question_type_udf(F.col("text")).alias("kind"))
+
+
+@query()
+def ask_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, queries = _docs(spark, sf_dir), _bench(spark, sf_dir)
+    best = keyword_search(docs, queries, 1).join(docs.select("seq", "text"), "seq")
+    return queries.join(best.select("qid", "seq", "text"), "qid", "left").select("qid", F.col("seq").alias("doc_id"), A.extract_udf(F.col("query"), F.col("text")).alias("answer"))
+
+
+@cache
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+@cache
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
