@@ -183,11 +183,12 @@ def near_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, firsts: int
     shared = spark.sparkContext.broadcast(common_ngrams(rows, n))  # 2**16 hashes at most
     sketch = durable(rows.mapInArrow(lambda it: _sketch(it, n, firsts, shared.value), _SKETCH), "sketch")
     # The matrix, by n-gram: a group's entry meets the documents that have the n-gram too.
-    entries = sketch.select("doc_id", "gid", F.explode("firsts").alias("token"))
+    entries = sketch.select("doc_id", "gid", F.size("firsts").alias("m"), F.explode("firsts").alias("token")).distinct()
     groups = entries.groupBy("token").agg(F.collect_set("gid").alias("gids")).where(F.size("gids") > 1)
-    visits = entries.join(groups, "token").select("doc_id", F.explode("gids").alias("to"), "gid").where("gid < to").select("doc_id", F.col("to").alias("gid"), F.lit(False).alias("home"))
+    hits = entries.join(groups, "token").select("doc_id", F.explode("gids").alias("to"), "gid", "m").where("gid < to").groupBy("doc_id", "to").agg(F.count("*").alias("hits"), F.max("m").alias("m"))
+    visits = hits.where(F.col("hits") >= F.when(F.col("m") < 4, 1).when(F.col("m") < 12, 2).otherwise(3)).select("doc_id", F.col("to").alias("gid"), F.lit(False).alias("home"))
     home = sketch.select("doc_id", "gid", F.count("*").over(W.partitionBy("gid")).alias("c"))
-    visits = durable(visits.distinct(), "visits")
+    visits = durable(visits, "visits")
     visited = visits.select("gid").distinct().withColumn("v", F.lit(True))
     home = home.join(visited, "gid", "left").where("c > 1 OR v").select("doc_id", "gid", F.lit(True).alias("home"))
     to = visits.unionByName(home).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("gid", "home")).alias("groups"))
