@@ -48,9 +48,9 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         key = key[np.append(True, key[1:] != key[:-1])]
     edges = np.searchsorted(key, np.arange(len(n) + 1).astype(np.uint64) << np.uint64(32))
     distinct = np.diff(edges).astype(float)
-    repeated = np.zeros(len(low.hashes) + 1)
+    repeated = np.zeros(len(low.hashes) + 2)  # a slice may have no word at all
     if len(low.hashes) > 1:
-        repeated[2:] = np.cumsum(low.hashes[1:] == low.hashes[:-1])
+        repeated[2:-1] = np.cumsum(low.hashes[1:] == low.hashes[:-1])
     twice = repeated[np.maximum(low.first[1:], 1)] - repeated[np.minimum(low.first[:-1] + 1, len(repeated) - 1)]
     some = np.maximum(n, 1.0)
     dense = np.stack([share(_UPPER), share(_DIGIT), share(_SIGN), share(_ALPHA), share(_LINE) * 10, 1 - distinct / some, np.maximum(twice, 0) / some, np.minimum(np.log1p(n), 8) / 8], axis=1)
