@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window as W, functions as F
 
 from ..config import Config
@@ -223,8 +224,6 @@ class Engine:
 
 def generator_udf(generate: Callable[[str, str], str]) -> Callable[[Column, Column], Column]:
     """A language model as a function (question, prompt) -> answer; where it fails or says nothing the extractive answer is used."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(questions: pd.Series, prompts: pd.Series) -> pd.Series:
         def one(q: str, p: str) -> str | None:
