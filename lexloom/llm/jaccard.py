@@ -14,6 +14,7 @@ which have a second order of these.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from .storage import durable
 _SKETCH = "doc_id long, gid long, firsts array<long>"
 _MEMBER = "gid long, doc_id long, home boolean, codes binary"
 _PAIR = "doc_a long, doc_b long, jaccard double"
+_CLASS = "ka long, kb long, jaccard double, doc_id long"
 
 
 def _sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,16 +170,8 @@ def _open(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Record
     yield flush()
 
 
-def near_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, firsts: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: near and exact copies by the Jaccard index of their n-gram sets.
-
-    N-grams of words (runs of letters and digits, in lower case); a text of fewer words is one n-gram.
-    Documents of equal sets are a class: each is paired with the one of the least id, which alone is
-    compared with the rest. All pairs of such representatives with an index of ``threshold`` or more are
-    sought; one is missed with a probability of about (1 - threshold) ** firsts. Null ids, null texts and
-    texts without a word take no part; rows that repeat an id and text count once, and an id with two texts is a
-    document of either. Other columns are not read.
-    """
+def _grouped(docs: DataFrame, n: int, firsts: int, id_col: str, text_col: str) -> DataFrame:
+    """The members and queries of the groups that can give a pair, in the order of groups."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(common_ngrams(rows, n))  # 2**16 hashes at most
@@ -193,10 +187,84 @@ def near_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, firsts: int
     home = home.join(visited, "gid", "left").where("c > 1 OR v").select("doc_id", "gid", F.lit(True).alias("home"))
     to = visits.unionByName(home).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("gid", "home")).alias("groups"))
     members = rows.join(to, "doc_id").select("doc_id", "text", "groups").mapInArrow(lambda it: _codes(it, n), _MEMBER)
-    found = members.repartition("gid").sortWithinPartitions("gid").mapInArrow(lambda it: _open(it, threshold), _PAIR)
+    return members.repartition("gid").sortWithinPartitions("gid")
+
+
+def near_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, firsts: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_a, doc_b, jaccard), doc_a < doc_b: near and exact copies by the Jaccard index of their n-gram sets.
+
+    N-grams of words (runs of letters and digits, in lower case); a text of fewer words is one n-gram.
+    Documents of equal sets are a class: each is paired with the one of the least id, which alone is
+    compared with the rest. All pairs of such representatives with an index of ``threshold`` or more are
+    sought; one is missed with a probability of about (1 - threshold) ** firsts. Null ids, null texts and
+    texts without a word take no part; rows that repeat an id and text count once, and an id with two texts is a
+    document of either. Other columns are not read.
+    """
+    found = _grouped(docs, n, firsts, id_col, text_col).mapInArrow(lambda it: _open(it, threshold), _PAIR)
     return found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
+def _open_classes(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Like ``_open``, but of classes by a digest of their set: (ka, kb, jaccard) of near classes, and (ka, doc_id) of the documents of each class that has a pair."""
+    gid, members, queries, docs = None, {}, {}, {}
+    rows: list[tuple[int, int | None, float | None, int | None]] = []
+
+    def close() -> None:
+        found = open_group(members, list(queries.items()), least) if members else []
+        paired = {k for a, b, _ in found for k in (a, b)} | {k for k, d in docs.items() if len(d) > 1}
+        rows.extend((a, b, j, None) for a, b, j in found)
+        rows.extend((k, None, None, d) for k in paired for d in docs[k])
+
+    def take() -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [()] * 4
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["ka", "kb", "jaccard", "doc_id"])
+
+    for batch in batches:
+        for g, doc, home, raw in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if g != gid:
+                close()
+                gid, members, queries, docs = g, {}, {}, {}
+                if len(rows) > 10_000:
+                    yield take()
+            k = int.from_bytes(blake2b(raw, digest_size=8).digest(), "little", signed=True)
+            docs.setdefault(k, set()).add(doc)
+            if home:
+                members[raw] = [k]
+            else:
+                queries[k] = raw
+    close()
+    yield take()
+
+
+def all_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, firsts: int = 16, id_col: str = "doc_id", text_col: str = "text", block: int = 256) -> DataFrame:
+    """(doc_a, doc_b, jaccard), doc_a < doc_b: every pair of documents, not of representatives alone as ``near_pairs`` gives.
+
+    Classes are compared once, as there; each pair of near classes is then expanded by the members of both, and
+    each class by itself, in blocks of ``block`` ids, so that no task holds more than a block product. The
+    result grows with the squares of the classes. Of an id with two texts the closer counts; it is not
+    paired with itself.
+    """
+    found = durable(_grouped(docs, n, firsts, id_col, text_col).mapInArrow(lambda it: _open_classes(it, threshold), _CLASS), "classes")
+    members = found.where("kb IS NULL").select(F.col("ka").alias("k"), "doc_id").distinct()
+    members = members.withColumn("twice", (F.count("*").over(W.partitionBy("doc_id")) > 1).cast("int"))
+    # Blocks of odd number are of ids that stand in several classes.
+    members = members.withColumn("block", F.floor((F.row_number().over(W.partitionBy("k", "twice").orderBy("doc_id")) - 1) / block) * 2 + F.col("twice"))
+    blocks = durable(members.groupBy("k", "block").agg(F.collect_list("doc_id").alias("ids")), "blocks")
+    left, right = (blocks.select(F.col("k").alias(f"k{x}"), F.col("block").alias(f"block_{x}"), F.col("ids").alias(f"ids_{x}")) for x in "ab")
+    near = found.where("kb IS NOT NULL").groupBy("ka", "kb").agg(F.max("jaccard").alias("jaccard")).join(left, "ka").join(right, "kb")
+    same = left.join(right, (F.col("ka") == F.col("kb")) & (F.col("block_a") <= F.col("block_b"))).withColumn("jaccard", F.lit(1.0))
+    met = near.unionByName(same).repartition("ka", "block_a", "kb", "block_b").withColumn("own", F.expr("ka = kb AND block_a = block_b"))
+
+    def expanded(rows: DataFrame) -> DataFrame:
+        rows = rows.select("own", "jaccard", "ids_b", F.explode("ids_a").alias("a")).select("own", "jaccard", "a", F.explode("ids_b").alias("b"))
+        return rows.where("a < b OR (a > b AND NOT own)").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard")
+
+    # Only an id of several classes can meet another id twice, so only such pairs are shuffled.
+    several = "(block_a % 2 = 1 OR block_b % 2 = 1)"
+    return expanded(met.where(f"NOT {several}")).unionByName(expanded(met.where(several)).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")))
+
+
 def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
     """(doc_id, root): for each document of a pair the least id that it is linked to, by alternating large-star and small-star steps."""
     edges = durable(pairs.select(F.col("doc_b").alias("u"), F.col("doc_a").alias("v")).distinct(), "edges")
@@ -233,3 +301,16 @@ o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, any_value(a.n) AS na, any_val
 SELECT doc_a, doc_b, round(o::DOUBLE / (na + nb - o), 6) AS jaccard FROM o
 UNION ALL SELECT rep, doc_id, 1.0 FROM c WHERE doc_id <> rep
 """
+
+#: Every pair of documents: the classes of equal sets, near pairs of classes, and the members of both.
+ALL_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s FROM w WHERE len(w) > 0),
+c AS (SELECT row_number() OVER () AS k, s, d FROM (SELECT s, list_distinct(list(doc_id)) AS d FROM g GROUP BY s)),
+m AS (SELECT k, unnest(d) AS doc_id FROM c),
+t AS (SELECT k, len(s) AS n, unnest(s) AS t FROM c),
+o AS (SELECT a.k AS ka, b.k AS kb, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS o FROM t a JOIN t b ON a.t = b.t AND a.k < b.k GROUP BY ALL HAVING count(*) * 1.0 >= 0.5 * (any_value(a.n) + any_value(b.n) - count(*))),
+p AS (SELECT ka, kb, o::DOUBLE / (na + nb - o) AS jaccard FROM o UNION ALL SELECT k, k, 1.0 FROM c)
+SELECT least(x.doc_id, y.doc_id) AS doc_a, greatest(x.doc_id, y.doc_id) AS doc_b, round(max(jaccard), 6) AS jaccard
+FROM p JOIN m x ON x.k = ka JOIN m y ON y.k = kb WHERE x.doc_id < y.doc_id OR (ka <> kb AND x.doc_id > y.doc_id) GROUP BY ALL
+"""
