@@ -31,6 +31,7 @@ class Index:
     words: list[np.ndarray]
     edits: np.ndarray
     pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # piece length -> (sorted hashes, item, offset in the item)
+    reps: np.ndarray  # repetitions of each item
     steps: np.ndarray  # (repetitions, samples) sampled steps as fractions of 2n
     keys: np.ndarray  # (repetition, item)
 
@@ -53,9 +54,44 @@ def cgk_keys(words: np.ndarray, lengths: np.ndarray, samples: np.ndarray, first:
     return out
 
 
+def repetitions(n: int, k: int, recall: float, samples: int, rng: np.random.Generator, copies: int = 96, walks: int = 24) -> int:
+    """Repetitions at which sequences of ``n`` distinct words and copies at ``k`` edits agree in one with ``recall``, measured on random copies.
+
+    Half of the copies have substitutions only, half as many deletions as insertions besides, which keep
+    the length. Distinct words are the worst case: repeated ones can only help walks to agree.
+    """
+    if not k:
+        return 1
+    item = rng.integers(0, 1 << 63, n, dtype=np.int64)
+    grid = np.tile(item, (copies, 1))
+    for c in range(copies):
+        moved = k // 2 if c % 2 else 0  # pairs of a deletion and an insertion
+        w = item.copy()
+        swap = rng.choice(n, k - 2 * moved, replace=False)
+        w[swap] = rng.integers(0, 1 << 63, len(swap), dtype=np.int64)
+        if moved:
+            w = np.delete(w, rng.choice(n, moved, replace=False))
+            w = np.insert(w, rng.integers(0, len(w) + 1, moved), rng.integers(0, 1 << 63, moved, dtype=np.int64))
+        grid[c] = w
+    words, row = np.vstack([item[None, :], grid]).view(U64), np.arange(copies + 1)
+    p = np.zeros(copies)
+    for walk in range(walks):
+        salt, at, same = U64(rng.integers(0, 1 << 63)), np.zeros(copies + 1, np.int64), np.zeros(copies)
+        for step in range(2 * n):
+            current = np.where(at < n, words[row, np.minimum(at, n - 1)], U64(0))
+            same += current[1:] == current[0]
+            at += (mix(current ^ (salt + U64(step * 2654435761))) & U64(1)).astype(np.int64)
+        p += (same / (2 * n)) ** samples / walks
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    most = 1
+    while np.mean((1 - p) ** most) > 1 - recall:
+        most += max(1, most // 16)
+    return most
+
+
 def build_index(ids: list[int], texts: list[str], rate: float, recall: float, match: float, samples: int, seed: int) -> Index:
-    """``match`` is the share of equal output positions that pairs at the largest distance keep; the repetitions follow from it and ``recall``."""
-    reps = max(1, math.ceil(math.log(1 - recall) / math.log(1 - match**samples)))
+    """The repetitions of an item are those by which ``recall`` of random copies at its largest distance agree once, and never fewer than follow from ``match``, a share of equal output positions."""
+    least = max(1, math.ceil(math.log(1 - recall) / math.log(1 - match**samples)))
     tok = tokenise(pa.array(texts, pa.string()), WORD)
     words = [tok.hashes[a:b] for a, b in zip(tok.first, tok.first[1:])]
     edits = np.array([int(rate * len(w)) for w in words], np.int64)
@@ -68,8 +104,19 @@ def build_index(ids: list[int], texts: list[str], rate: float, recall: float, ma
             for p in range(0, n * (int(k) + 1), n):
                 pieces.setdefault(n, []).append((int(h[p]), i, p))
     rng = np.random.default_rng(seed)
-    steps = rng.random((reps, samples))
     lengths = np.array([len(w) for w in words], np.int64)
+    # Measured at steps of an eighth in length, rounded up, so that many items need few measurements; half the permitted loss is left for the spread.
+    at = np.random.default_rng(seed + 1)
+    known: dict[int, int] = {}
+    reps = np.full(len(words), least, np.int64)
+    for i, (n, k) in enumerate(zip(lengths.tolist(), edits.tolist())):
+        if k:
+            unit = max(1, (1 << n.bit_length()) // 16)
+            up = -(-n // unit) * unit
+            if up not in known:
+                known[up] = repetitions(up, max(k, int(rate * up)), 1 - (1 - recall) / 2, samples, at)
+            reps[i] = max(least, known[up])
+    steps = rng.random((int(reps.max(initial=least)), samples))
     grid = np.zeros((len(words), max(1, int(lengths.max(initial=0)))), U64)
     for i, w in enumerate(words):
         grid[i, : len(w)] = w
@@ -78,7 +125,7 @@ def build_index(ids: list[int], texts: list[str], rate: float, recall: float, ma
     for n, found in pieces.items():
         found.sort()
         table[n] = (np.array([f[0] for f in found], U64), np.array([f[1] for f in found]), np.array([f[2] for f in found]))
-    return Index(np.array(ids, np.int64), words, edits, table, steps, keys)
+    return Index(np.array(ids, np.int64), words, edits, table, reps, steps, keys)
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -135,7 +182,7 @@ def scan(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, in
     """(row, item, start, end, edits) of the closest window of each row and item within the item's edits."""
     size = np.array([len(w) for w in index.words], np.int64)
     most = int(size.max(initial=0))
-    meta, grids = [], []
+    meta, hashes, before = [], [], 0
     for lo, hi in slices(texts):
         tok = tokenise(texts.slice(lo, hi - lo), WORD)
         c = candidates(tok, index)
@@ -143,27 +190,31 @@ def scan(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, in
             continue
         row, it, start, votes = c.T
         length = np.minimum(size[it], tok.first[1:][row] - start)
-        grid = start[:, None] + np.arange(most)[None, :]
-        grids.append(np.where(np.arange(most)[None, :] < length[:, None], tok.hashes[np.minimum(grid, len(tok.hashes) - 1)], U64(0)))
-        meta.append(np.column_stack([row + lo, it, start - tok.first[:-1][row], length, votes]))
+        meta.append(np.column_stack([row + lo, it, start - tok.first[:-1][row], length, votes, start + before]))
+        hashes.append(tok.hashes)
+        before += len(tok.hashes)
     if not meta:
         return
-    m, words = np.concatenate(meta), np.concatenate(grids)
+    m, flat = np.concatenate(meta), np.concatenate(hashes)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     # First the window of each row and item that most pieces point to; where it is an exact copy, nothing can be closer.
     order = np.lexsort((m[:, 2], -m[:, 4], m[:, 1], m[:, 0]))
-    m, words = m[order], words[order]
+    m = m[order]
+    chunk = max(1, min(1 << 15, (1 << 22) // max(1, most)))
     lead = np.append(True, (m[1:, 0] != m[:-1, 0]) | (m[1:, 1] != m[:-1, 1]))
     for part in (np.flatnonzero(lead), np.flatnonzero(~lead)):
         done = np.array([best.get((r, i), (1,))[0] == 0 for r, i in m[part, :2].tolist()], bool)
         left = part[~done] if len(part) else part
         for rep in range(len(index.steps)):
-            for at in range(0, len(left), 1 << 15):
-                some = left[at : at + (1 << 15)]
-                it = m[some, 1]
-                hit = cgk_keys(words[some], size[it], index.steps[rep : rep + 1], rep)[0] == index.keys[rep][it]
-                for r, i, s, n, _, row in np.column_stack([m[some[hit]], some[hit]]).tolist():
-                    d = edit_distance(index.words[i], words[row, :n], int(index.edits[i]))
+            left = left[index.reps[m[left, 1]] > rep]
+            for at in range(0, len(left), chunk):
+                some = left[at : at + chunk]
+                it, length = m[some, 1], m[some, 3]
+                wide = np.arange(int(size[it].max()))[None, :]
+                words = np.where(wide < length[:, None], flat[np.minimum(m[some, 5][:, None] + wide, len(flat) - 1)], U64(0))
+                hit = np.flatnonzero(cgk_keys(words, size[it], index.steps[rep : rep + 1], rep)[0] == index.keys[rep][it])
+                for (r, i, s, n), w in zip(m[some[hit], :4].tolist(), hit.tolist()):
+                    d = edit_distance(index.words[i], words[w, :n], int(index.edits[i]))
                     if d <= index.edits[i]:
                         best[r, i] = min(best.get((r, i), (d, s, n)), (d, s, n))
                 left[at : at + len(some)][hit] = -1  # verified

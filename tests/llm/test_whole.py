@@ -1,8 +1,10 @@
-"""Operators over the whole of their job: every pair of copies."""
+"""Operators over the whole of their job: every pair of copies, long items."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
-from lexloom.llm import jaccard
+from lexloom.llm import decontaminate, jaccard
 
 from test_operators import prose, table, words
 
@@ -33,3 +35,21 @@ def test_all_pairs(spark, block):
     con.register("documents", table(spark, rows).toPandas().astype({"doc_id": "Int64"}))
     assert sorted(con.execute(jaccard.ALL_SQL).fetchall()) == sorted((x, y, round(j, 6)) for (x, y), j in want.items())
     assert jaccard.all_pairs(table(spark, [])).count() == 0
+
+
+def test_decontamination_of_long_items():
+    """Random copies of long items at the limit of edits agree with the item in one of its repetitions."""
+    r = np.random.default_rng(3)
+    for n in (200, 400, 800):
+        index = decontaminate.build_index([1], [" ".join(f"w{k}" for k in r.integers(0, 1 << 40, n))], 0.2, 0.99, 0.45, 2, 7)
+        copies = np.tile(index.words[0], (60, 1))
+        for c in copies:
+            c[r.choice(n, n // 5, replace=False)] = r.integers(0, 1 << 63, n // 5, dtype=np.int64).astype(np.uint64)
+        keys = decontaminate.cgk_keys(copies, np.full(60, n), index.steps[: index.reps[0]])
+        assert (keys == index.keys[: index.reps[0]]).any(0).sum() >= 58
+    item = prose(200)
+    copy = item.split()
+    for p in range(0, 200, 5):
+        copy[p] = f"x{p}"
+    index = decontaminate.build_index([1, 2], [item, prose(20)], 0.2, 0.99, 0.45, 2, 7)
+    assert (0, 0, 30, 230, 40) in list(decontaminate.scan(pa.array([" ".join(words(prose(30)) + copy + words(prose(9))), None, "x"]), index))
