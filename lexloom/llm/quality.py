@@ -9,7 +9,7 @@ the presence of those words that clearly more documents of one class than of the
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .kernels import SPACE, WORD, binary_array, buffers, slices, tokenise
+from .storage import durable
 
 DENSE = 8
 _UPPER = np.zeros(256, bool)
@@ -65,6 +66,7 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
     threshold: float = -np.inf
+    held: np.ndarray = field(default_factory=lambda: np.zeros(0))  # scores of the sample's clean rows that were not trained on
 
     def score(self, texts: pa.Array) -> np.ndarray:
         dense, ids, at = features(texts)
@@ -126,7 +128,8 @@ def fit(dense: np.ndarray, ids: np.ndarray, at: np.ndarray, good: np.ndarray, qu
             f2 += 0.01 * (d * d - f2)
             p -= 0.05 * (f1 / (1 - 0.9**t)) / (np.sqrt(f2 / (1 - 0.99**t)) + 1e-7)
     s = m.of(dense, owner, which)
-    clean = s[good & held] if (good & held).any() else s[good]
+    m.held = s[good & held]
+    clean = m.held if len(m.held) else s[good]
     m.threshold = float(np.quantile(clean, quantile)) - 1e-9
     return m
 
@@ -142,6 +145,9 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, quantile: float = 0.004) -> Model:
     """Fits on a bounded sample: at most ``sample`` labelled documents of either class, the first by hash of their id.
 
+    The threshold is the exact quantile of the scores of all clean labelled documents that were not trained on:
+    the held-out ones of the sample and all outside of it.
+
     A label is clean where quality = 1 and toxic = 0; one with a null in either column is left out. An id
     labelled more than once is bad if any of its labels is. Without labels of both classes the model
     rejects nothing.
@@ -162,11 +168,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, quantile: floa
         at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
         dense = np.frombuffer(b"".join(got.dense), np.float64).reshape(-1, DENSE)
         m = fit(dense, np.concatenate([*lists, np.zeros(0, np.uint32)]), at, got.good.to_numpy(bool), quantile)
-        yield pd.DataFrame({"model": [np.concatenate([m.words, m.weights, m.dense, m.mean, m.scale, [m.threshold]]).astype(np.float64).tobytes()]})
+        yield pd.DataFrame({"model": [np.concatenate([m.words, m.weights, m.dense, m.mean, m.scale, [m.threshold]]).astype(np.float64).tobytes()], "held": [m.held.tobytes()]})
 
-    flat = np.frombuffer(rows.repartition(1).mapInPandas(one, "model binary").first()["model"], np.float64)
+    got = rows.repartition(1).mapInPandas(one, "model binary, held binary").first()
+    flat = np.frombuffer(got["model"], np.float64)
     k = (len(flat) - 3 * DENSE - 1) // 2
-    return Model(flat[:k].astype(np.uint32), flat[k : 2 * k], *flat[2 * k : -1].reshape(3, DENSE), float(flat[-1]))
+    model = Model(flat[:k].astype(np.uint32), flat[k : 2 * k], *flat[2 * k : -1].reshape(3, DENSE), float(flat[-1]), np.frombuffer(got["held"], np.float64))
+    if model.threshold == -np.inf:
+        return model
+    outside = marks.where("good").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
+    rest = durable(scores(docs, model).join(outside, "doc_id").select("score"), "clean_scores")
+    n = rest.count()
+    if n:
+        at = quantile * (n + len(model.held) - 1)
+        low = rest.orderBy("score").limit(int(at) + 2).toArrow().column("score").to_numpy()  # that share of them only
+        low = np.sort(np.concatenate([low, model.held]))
+        first, second = low[int(at)], low[min(int(at) + 1, len(low) - 1)]
+        model.threshold = float(first + (at - int(at)) * (second - first)) - 1e-9
+    return model
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
-from lexloom.llm import decontaminate, jaccard
+from lexloom.llm import decontaminate, jaccard, quality
 
 from test_operators import prose, table, words
 
@@ -53,3 +53,11 @@ def test_decontamination_of_long_items():
         copy[p] = f"x{p}"
     index = decontaminate.build_index([1, 2], [item, prose(20)], 0.2, 0.99, 0.45, 2, 7)
     assert (0, 0, 30, 230, 40) in list(decontaminate.scan(pa.array([" ".join(words(prose(30)) + copy + words(prose(9))), None, "x"]), index))
+
+
+def test_quality_threshold_over_all_labels(spark):
+    rows = [(i, prose(60) if i % 4 else "JUNK!!! " * 40, "s") for i in range(2000)]
+    marks = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    model = quality.train(table(spark, rows), marks, sample=100, quantile=0.1)
+    clean = np.sort([r["score"] for r in quality.scores(table(spark, rows), model).where("doc_id % 4 > 0").collect()])
+    assert abs((clean < model.threshold).mean() - 0.1) < 0.01  # 1,500 scores, of which some 80 were trained on
