@@ -110,12 +110,12 @@ def tokenise(texts: pa.Array, kind: np.ndarray = WORD) -> Tokens:
 
 
 def slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` bytes and 2**18 rows each, or of one row."""
+    """Row ranges of at most ``most`` bytes and 2**16 - 1 rows each, or of one row."""
     _, at = buffers(texts)
     lo, n = 0, len(at) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
-        hi = min(hi, n, lo + (1 << 18))
+        hi = min(hi, n, lo + (1 << 16) - 1)
         yield lo, hi
         lo = hi
 
@@ -147,7 +147,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def shingles(tokens: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, 44-bit hash) of every n-gram. A row of 1..n-1 tokens has one: all its tokens."""
+    """(row, 64-bit hash) of every n-gram. A row of 1..n-1 tokens has one: all its tokens."""
     counts = tokens.counts
     at, h = windows(tokens, n)
     rows = tokens.rows()[at]
@@ -159,18 +159,19 @@ def shingles(tokens: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
             has = counts[short] > k
             own[has] += tokens.hashes[tokens.first[short[has]] + k] * up[k]
         rows, h = np.concatenate([rows, short]), np.concatenate([h, mix(own)])
-    return rows, h >> U64(20)
+    return rows, h
 
 
 def shingle_sets(tokens: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-gram hashes of each row, ascending, as (values, row offsets). For batches of fewer than 2**20 rows."""
+    """Distinct n-gram hashes of each row, ascending, as (values, row offsets). For batches of fewer than 2**16 rows."""
     rows, h = shingles(tokens, n)
-    key = (rows.astype(U64) << U64(44)) | h
-    key.sort()
-    if len(key):
-        key = key[np.append(True, key[1:] != key[:-1])]
-    edges = np.arange(len(tokens.first)).astype(U64) << U64(44)
-    return key & U64((1 << 44) - 1), np.searchsorted(key, edges)
+    order = np.argsort(h)
+    order = order[np.argsort(rows[order].astype(np.uint16), kind="stable")]  # a radix sort
+    rows, h = rows[order], h[order]
+    if len(h):
+        new = np.append(True, (h[1:] != h[:-1]) | (rows[1:] != rows[:-1]))
+        rows, h = rows[new], h[new]
+    return h, np.searchsorted(rows, np.arange(len(tokens.first)))
 
 
 def list_array(values: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.Array:

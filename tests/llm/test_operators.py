@@ -248,48 +248,60 @@ def test_url_filters(spark):
     assert url_filters.match_rules(df).count() == len(urls) + 1 and url_filters.match_rules(df.limit(0)).count() == 0
 
 
-def brute_near(rows, least):
-    sets = {}
+def gram_sets(rows):
+    """{(id, set of 3-grams)} of the documents with an id."""
+    out = set()
     for i, t, _ in rows:
         w = words(t) if t else []
-        if i is not None and w:
-            sets[i] = frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)])
-    rep, out = {}, {}
-    for i in sorted(sets):
-        rep.setdefault(sets[i], i)
-        if rep[sets[i]] != i:
-            out[rep[sets[i]], i] = 1.0
-    ids = sorted(rep.values())
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-            if j >= least:
-                out[a, b] = j
+        if i is not None:
+            out.add((i, frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)] if w else [])))
+    return sorted(out, key=lambda x: (x[0], sorted(x[1])))
+
+
+def brute_classes(rows, least):
+    """(doc_id, class_id, n_links) by comparing all with all."""
+    docs = gram_sets(rows)
+    root, links = list(range(len(docs))), [0] * len(docs)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, (_, x) in enumerate(docs):
+        for b, (_, y) in enumerate(docs[a + 1 :], a + 1):
+            if x and y and len(x & y) >= least * len(x | y):
+                links[a] += 1
+                links[b] += 1
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return sorted((d[0], docs[find(k)][0], links[k]) for k, d in enumerate(docs))
+
+
+def varied(of, times, share):
+    """Copies of random documents with a share of their words replaced."""
+    out = []
+    for k in range(of):
+        w = prose(rng.randint(30, 120)).split()
+        for c in range(rng.randint(2, times)):
+            v = list(w)
+            for _ in range(rng.randint(0, int(len(v) * share))):
+                v[rng.randrange(len(v))] = rng.choice(VOCAB)
+            out.append((2000 + 100 * k + c, " ".join(v), "s"))
     return out
 
 
 def test_jaccard(spark, base):
-    rows = list(base)
-    for k in range(60):
-        w = prose(rng.randint(30, 120)).split()
-        for c in range(rng.randint(2, 4)):
-            v = list(w)
-            for _ in range(rng.randint(0, len(v) // 12)):
-                v[rng.randrange(len(v))] = rng.choice(VOCAB)
-            rows.append((2000 + 10 * k + c, " ".join(v), "s"))
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in jaccard.near_pairs(clash(table(spark, rows))).collect()}
-    want = brute_near(rows, 0.5)
-    assert all(abs(want[p] - j) < 1e-9 for p, j in got.items())
-    assert len(got) >= 0.98 * len(want) and len(want) > 80
-    # One of each group, by plain union-find over the same pairs.
-    root = {i: i for i, _, _ in rows if i is not None}
-    find = lambda x: x if root[x] == x else find(root[x])
-    for a, b in got:
-        x, y = sorted((find(a), find(b)))
-        root[y] = x
+    rows = base + varied(50, 5, 0.12) + [(101, "other text of the same id", "s"), (300, None, "s"), (301, "?!", "s")]
+    got = sorted(map(tuple, jaccard.near_classes(clash(table(spark, rows))).collect()))
+    want = brute_classes(rows, 0.5)
+    assert got == want and sum(n > 0 for _, _, n in got) > 100
+    con = duckdb.connect()
+    con.register("documents", table(spark, rows).toPandas().astype({"doc_id": "Int64"}))
+    assert sorted(con.execute(jaccard.SQL).fetchall()) == want
     kept = {r["doc_id"] for r in jaccard.one_of_each(table(spark, rows)).collect()}
-    assert kept == {i for i, _, _ in rows if i is None or find(i) == i}
-    assert jaccard.near_pairs(table(spark, EMPTY)).count() == 0 and jaccard.one_of_each(table(spark, EMPTY)).count() == 0
+    assert kept == {i for i, _, _ in rows} - {i for i, c, _ in want if c < i}
+    assert jaccard.near_classes(table(spark, EMPTY)).count() == 0 and jaccard.one_of_each(table(spark, EMPTY)).count() == 0
 
 
 def test_licenses(spark):

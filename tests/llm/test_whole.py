@@ -6,35 +6,31 @@ import pyarrow as pa
 import pytest
 from lexloom.llm import decontaminate, jaccard, quality
 
-from test_operators import prose, table, words
-
-
-def every_pair(rows, least):
-    grams = lambda w: frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)])
-    sets = sorted((i, grams(words(t))) for i, t in {(i, t) for i, t, _ in rows if i is not None and t} if words(t))
-    out = {}
-    for k, (a, x) in enumerate(sets):
-        for b, y in sets[k + 1 :]:
-            j = len(x & y) / len(x | y)
-            if a != b and j >= least:
-                out[a, b] = max(j, out.get((a, b), 0))
-    return out
-
-
-@pytest.mark.parametrize("block", [2, 256])
-def test_all_pairs(spark, block):
-    a, b, c = (prose(80).split() for _ in range(3))
-    near = [*a[:40], "zzz", *a[41:]]
-    rows = [(i, " ".join(w), "s") for i, w in [*enumerate([a] * 5 + [near] * 4), (20, b), (21, b), (22, c), (23, prose(50).split())]]
-    rows += [(20, " ".join(c), "s"), (30, None, "s"), (None, " ".join(a), "s"), (3, " ".join(a), "s")]  # 20 is a document of two texts
-    got = jaccard.all_pairs(table(spark, rows), block=block).collect()
-    want = every_pair(rows, 0.5)
-    assert len(got) == len(want) == 36 + 2  # 9 ids of two near classes, 20 with 21 and with 22
-    assert {(r["doc_a"], r["doc_b"]): round(r["jaccard"], 9) for r in got} == {p: round(j, 9) for p, j in want.items()}
-    con = duckdb.connect()
-    con.register("documents", table(spark, rows).toPandas().astype({"doc_id": "Int64"}))
-    assert sorted(con.execute(jaccard.ALL_SQL).fetchall()) == sorted((x, y, round(j, 6)) for (x, y), j in want.items())
-    assert jaccard.all_pairs(table(spark, [])).count() == 0
+from test_operators import brute_classes, prose, table, words
+
+
+def test_no_pair_at_the_threshold_is_missed(spark):
+    """3,000 pairs of 150 n-grams each with 100 in common, so with an index of exactly 0.5, and as many with 99."""
+    w = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    rows, want = [], []
+    for k in range(6000):
+        common = 102 if k < 3000 else 101
+        at = 1000 * k
+        rows += [(2 * k, w(at, at + 152), "s"), (2 * k + 1, w(at + 152 - common, at + 304 - common), "s")]
+        want += [(2 * k, 2 * k, int(k < 3000)), (2 * k + 1, 2 * k if k < 3000 else 2 * k + 1, int(k < 3000))]
+    assert sorted(map(tuple, jaccard.near_classes(table(spark, rows)).collect())) == want
+
+
+@pytest.mark.parametrize("part_tokens", [200, 1 << 20])
+def test_large_groups_of_near_copies(spark, part_tokens):
+    """Groups that are divided, boilerplate that unlike documents share, and copies of copies."""
+    base, passage = prose(90).split(), prose(70)
+    rows = [(i, " ".join(base[: 3 * (i % 7)] + [f"x{i % 40}"] + base[3 * (i % 7) + 1 :]), "s") for i in range(150)]
+    rows += [(1000 + i, passage + " " + prose(40), "s") for i in range(60)] + [(2000 + i, passage + " " + prose(90), "s") for i in range(60)]
+    rows += [(3000 + i, " ".join(f"c{j}" for j in range(9 * i, 9 * i + 60)), "s") for i in range(30)]  # a chain, linked neighbour to neighbour
+    want = brute_classes(rows, 0.5)
+    assert sorted(map(tuple, jaccard.near_classes(table(spark, rows), part_tokens=part_tokens).collect())) == want
+    assert {c for i, c, _ in want if i >= 3000} == {3000} and max(n for _, _, n in want) > 100
 
 
 def test_decontamination_of_long_items():
