@@ -4,6 +4,9 @@ Vectors are kept in vertical layout, one contiguous block of dimensions after th
 accumulated block by block. What the remaining dimensions can still add lies between (|q|-|x|)^2 and
 (|q|+|x|)^2 of the remaining masses; candidates whose lower bound exceeds the k-th least upper bound
 are dropped, and the survivors are compacted before the next block.
+
+The queries meet the rows in blocks. One block of rows gives each query a first bound of its k-th distance,
+and every block that a task has searched tightens it for the blocks after.
 """
 
 from __future__ import annotations
@@ -12,13 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from .storage import durable
 
 _SCHEMA = "query_id long, neighbor_id long, d2 double"
 
 
-def search_block(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int, width: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exact k nearest rows of x (squared Euclidean, ties by id, never the query's own id) for each row of q."""
+def search_block(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int, bound: np.ndarray, width: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact k nearest rows of x (squared Euclidean, ties by id, never the query's own id) for each row of q, of those not beyond the query's ``bound``; tightens ``bound`` in place."""
     dims = q.shape[1]
     edges = [*range(0, dims, width), dims]
     blocks = [np.ascontiguousarray(x[:, a:b].T) for a, b in zip(edges, edges[1:])]
@@ -42,10 +47,12 @@ def search_block(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray,
                 rest_q = qleft[i, b] if b < dims else 0.0
                 rest_x = xrest[j] if alive is None else xrest[j][alive]
                 n = len(part)
-                if n <= k + 1:
+                limit = bound[i]
+                if n > k + 1:
+                    upper = part + (rest_q + rest_x) ** 2
+                    limit = min(limit, np.partition(upper, k)[k])  # of k+1, as the query itself may be among them
+                if not np.isfinite(limit):
                     continue
-                upper = part + (rest_q + rest_x) ** 2
-                limit = np.partition(upper, k)[k]  # of k+1, as the query itself may be among them
                 keep = part + (rest_q - rest_x) ** 2 <= limit + 1e-9 * (1.0 + abs(limit))
                 left = int(np.count_nonzero(keep))
                 if left < 0.7 * n:  # compact
@@ -57,6 +64,8 @@ def search_block(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray,
             diff = x[alive] - v
             d = np.einsum("ij,ij->i", diff, diff)
             best = np.lexsort((xid[alive], d))[:k]
+            if len(best) == k:
+                bound[i] = min(bound[i], d[best[-1]])
             out_q.append(np.full(len(best), qid[i]))
             out_x.append(xid[alive][best])
             out_d.append(d[best])
@@ -68,46 +77,84 @@ def _unpack(ids: bytes, vectors: bytes, dims: int) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float32).reshape(-1, dims).astype(np.float64)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], k: int, dims: int) -> Iterator[pa.RecordBatch]:
+def _seed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of queries (dims, ids, vectors), each beside a block of rows, to the same with the bounds that those rows give."""
     for batch in batches:
-        for r in range(batch.num_rows):
-            ids, vec, ids2, vec2 = (batch.column(c)[r].as_py() for c in range(4))
-            found = search_block(*_unpack(ids, vec, dims), *_unpack(ids2, vec2, dims), k)
+        for dims, qid, q, xid, x in zip(*(c.to_pylist() for c in batch.columns)):
+            bound = np.full(len(qid) // 8, np.inf)
+            search_block(*_unpack(qid, q, dims), *_unpack(xid, x, dims), k, bound)
+            yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([qid]), pa.array([q]), pa.array([bound.tobytes()])], names=["dims", "qids", "qs", "bounds"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    held: dict[bytes, np.ndarray] = {}  # the bounds of the last block of queries, as this task has tightened them
+    for batch in batches:
+        for dims, qid, q, bounds, other, xid, x in zip(*(c.to_pylist() for c in batch.columns)):
+            if dims != other:
+                continue
+            if qid not in held:
+                held = {qid: np.frombuffer(bounds).copy()}
+            found = search_block(*_unpack(qid, q, dims), *_unpack(xid, x, dims), k, held[qid])
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "neighbor_id", "d2"])
 
 
-def _pack(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of vectors: one row with the ids and the float32 vectors of each run of equal block numbers."""
-    held: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+def _pack(batches: Iterator[pa.RecordBatch], every: int) -> Iterator[pa.RecordBatch]:
+    """(block, dims, id, v) to one row for each block and length: the ids and the float32 vectors, and those of the queries. Of rows that repeat an id the least vector, by its elements in turn, stays."""
+    held: dict[tuple[int, int], dict[int, bytes]] = {}
+    for batch in batches:
+        dims, block, ids = (batch.column(c).to_numpy() for c in (1, 0, 2))
+        flat = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+        at = np.concatenate([[0], np.cumsum(dims)])
+        for r, (b, n, i) in enumerate(zip(block.tolist(), dims.tolist(), ids.tolist())):
+            v, one = flat[at[r] : at[r + 1]], held.setdefault((b, n), {})
+            if i not in one or v.tolist() < np.frombuffer(one[i], np.float32).tolist():
+                one[i] = v.tobytes()
+    for (b, n), one in held.items():
+        ids = np.array(list(one), np.int64)
+        asks = [i for i in one if i % every == 0]
+        row = [b, n, ids.tobytes(), b"".join(one.values()), np.array(asks, np.int64).tobytes(), b"".join(one[i] for i in asks)]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int32(), pa.int32(), *[pa.binary()] * 4])], names=["block", "dims", "ids", "vectors", "qids", "qs"])
+
+
+def _gather(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Small blocks of queries to blocks of about ``most`` bytes of vectors."""
+    held: dict[int, tuple[list[bytes], list[bytes]]] = {}
+
+    def take(dims: int) -> pa.RecordBatch:
+        ids, vectors = held.pop(dims)
+        return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([b"".join(ids)]), pa.array([b"".join(vectors)])], names=["dims", "qids", "qs"])
+
     for batch in batches:
-        block, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        vec = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dims)
-        for b in np.unique(block):
-            at = block == b
-            one = held.setdefault(int(b), ([], []))
-            one[0].append(ids[at])
-            one[1].append(vec[at])
-    for ids_, vec_ in held.values():
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids_).tobytes()], pa.binary()), pa.array([np.concatenate(vec_).tobytes()], pa.binary())], names=["ids", "vectors"])
-
-
-def topk_search(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 4096) -> DataFrame:
-    """(query_id, rank, neighbor_id, distance): the exact k nearest rows of every row, itself left out.
-
-    Euclidean distance; ties go to the lower id. Rows with a null id, a null vector, a null, NaN or
-    infinite element, or another length than the commonest one (the longer on a tie) take no part. Of
-    rows that repeat an id any one is kept. A table of fewer than k+1 rows gives fewer ranks.
+        for dims, ids, vectors in zip(*(c.to_pylist() for c in batch.columns)):
+            one = held.setdefault(dims, ([], []))
+            one[0].append(ids)
+            one[1].append(vectors)
+            if sum(map(len, one[1])) >= most:
+                yield take(dims)
+    for dims in list(held):
+        yield take(dims)
+
+
+def topk_search(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 4096, every: int = 50) -> DataFrame:
+    """(query_id, rank, neighbor_id, distance): the exact k nearest rows of each row whose id ``every`` divides, itself left out; 1 asks for all.
+
+    Euclidean distance; ties go to the lower id. Ids are integers. Vectors are searched among those of their own length.
+    Rows with a null id, a null or empty vector, or a null, NaN or infinite element take no part. Of rows that
+    repeat an id (and a length) the least vector counts, compared element by element. A row with fewer than k
+    others of its length has fewer ranks; an empty table gives an empty one. Other columns are not read.
     """
-    v = F.col(vec_col)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.cast("array<float>").alias("v"))
-    rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    shape = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    if shape is None:
-        return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("neighbor_id"), F.lit(0.0).alias("distance")).where(F.lit(False))
-    dims, blocks = shape["n"], max(1, -(-shape["count"] // block_rows))
-    rows = rows.where(F.size("v") == dims).dropDuplicates(["id"]).select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "v")
-    packed = rows.repartition(blocks, "block").mapInArrow(lambda it: _pack(it, dims), "ids binary, vectors binary")
-    other = packed.select(F.col("ids").alias("ids2"), F.col("vectors").alias("vectors2"))
-    found = packed.crossJoin(other).mapInArrow(lambda it: _pairs(it, k, dims), _SCHEMA)
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "neighbor_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("col.neighbor_id").alias("neighbor_id"), F.sqrt("col.d2").alias("distance"))
+    v = F.col("v")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
+    rows = rows.where(F.col("id").isNotNull() & v.isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    blocks = max(1, -(-rows.count() // block_rows))
+    rows = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.size("v").alias("dims"), "id", "v")
+    packed = durable(rows.repartition(blocks, "block").mapInArrow(lambda it: _pack(it, every), "block int, dims int, ids binary, vectors binary, qids binary, qs binary"), "blocks")
+    asked = packed.where(F.length("qids") > 0).select("dims", "qids", "qs").coalesce(max(1, blocks // every)).mapInArrow(lambda it: _gather(it, 1 << 20), "dims int, qids binary, qs binary")
+    some = packed.groupBy("dims").agg(F.min_by(F.struct("ids", "vectors"), F.struct(-F.length("ids"), "block")).alias("x")).select(F.col("dims").alias("n"), "x.*")
+    some = F.broadcast(some) if packed.select("dims").distinct().count() <= 64 else some  # a block of each length
+    seeded = durable(asked.join(some, F.col("dims") == F.col("n")).select("dims", "qids", "qs", "ids", "vectors").mapInArrow(lambda it: _seed(it, k), "dims int, qids binary, qs binary, bounds binary"), "queries")
+    # Blocks of a stated set of queries against all blocks. Lengths are compared in the task: as a join on them, one length would be one task.
+    met = seeded.crossJoin(packed.select(F.col("dims").alias("n"), "ids", "vectors")).select("dims", "qids", "qs", "bounds", "n", "ids", "vectors")
+    found = met.mapInArrow(lambda it: _pairs(it, k), _SCHEMA)
+    best = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("d2", "neighbor_id"))).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", "neighbor_id", F.sqrt("d2").alias("distance"))

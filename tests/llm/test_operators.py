@@ -51,22 +51,29 @@ def test_token_counts(spark, base):
     assert token_counts.token_counts(table(spark, EMPTY), TOKENIZER).count() == 0
 
 
-def test_topk(spark):
+@pytest.mark.parametrize("every", [1, 3])
+def test_topk(spark, every):
     r = np.random.default_rng(1)
     x = r.normal(size=(60, 20)).astype(np.float32)
     x[7] = x[3]
     x[9] = x[3]
     rows = [(i, [float(v) for v in x[i]]) for i in range(60)]
-    bad = [(90, None), (91, [1.0] * 3), (92, [float("nan")] * 20), (None, rows[0][1]), rows[5]]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").withColumn("block", F.lit("x"))
+    lower = [float(v) for v in x[6]]
+    lower[0] -= 50  # of the repeats of an id the least vector counts
+    bad = [(90, None), (92, [float("nan")] * 20), (93, [float("inf")] * 20), (94, [None] * 20), (95, []), (None, rows[0][1]), rows[5], (6, lower)]
+    short = [(100 + i, [float(i), float(i % 3), 1.0]) for i in range(5)]  # another length, searched by itself; fewer than k others
+    x[6] = lower
+    df = spark.createDataFrame(rows + bad + short, "vec_id long, embedding array<float>").withColumn("block", F.lit("x"))
     got = {}
-    for q in topk.topk_search(df, 5, block_rows=16).orderBy("query_id", "rank").collect():
+    for q in topk.topk_search(df, 5, block_rows=16, every=every).orderBy("query_id", "rank").collect():
         got.setdefault(q["query_id"], []).append((q["neighbor_id"], round(q["distance"], 4)))
-    d = ((x[:, None].astype(float) - x[None]) ** 2).sum(2)
-    for i in range(60):
-        want = sorted((d[i, j], j) for j in range(60) if j != i)[:5]
-        assert got[i] == [(j, round(v**0.5, 4)) for v, j in want]
-    assert len(got) == 60
+    want = {}
+    for ids, m in ((range(60), x.astype(float)), ([i for i, _ in short], np.array([v for _, v in short]))):
+        d = ((m[:, None] - m[None]) ** 2).sum(2)
+        for a, i in enumerate(ids):
+            if i % every == 0:
+                want[i] = [(j, round(v**0.5, 4)) for v, j in sorted((d[a, b], j) for b, j in enumerate(ids) if j != i)[:5]]
+    assert got == want
     assert topk.topk_search(df.limit(0)).count() == 0
 
 
