@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 from .. import data
 
@@ -38,12 +39,26 @@ def marker_count(text: Column) -> Column:
     return F.size(F.array_intersect(F.array_union(tokens, F.transform(tokens, fold)), _strings(data.words("markers"))))
 
 
-def looks_banglish(text: Column) -> Column:
-    """Two distinct markers, or markers making up two fifths of the Latin words."""
-    tokens, markers = latin_tokens(text), _strings(data.words("markers"))
-    hits = F.size(F.filter(tokens, lambda t: F.array_contains(markers, t) | F.array_contains(markers, fold(t))))
-    n = F.size(tokens)
-    return F.when(n == 0, False).when(marker_count(text) >= 2, True).otherwise((hits > 0) & (hits / n >= 0.4))
+@cache
+def _marked() -> tuple[dict[str, frozenset[str]], re.Pattern]:
+    """The markers that each word stands for, as written or folded, and the pattern of words."""
+    markers, variants = frozenset(data.words("markers")), data.mapping("variants")
+    found = {w: markers & {w, variants.get(w, w)} for w in markers | set(variants)}
+    return {w: m for w, m in found.items() if m}, re.compile(_LATIN)
+
+
+def is_banglish(text: str) -> bool:
+    """``looks_banglish`` of one text."""
+    marked, word = _marked()
+    tokens = [t.lower() for t in word.findall(text)]
+    hits = [marked[t] for t in tokens if t in marked]
+    return bool(hits) and (len(frozenset().union(*hits)) >= 2 or len(hits) / len(tokens) >= 0.4)
+
+
+@F.pandas_udf(BooleanType())
+def looks_banglish(texts: pd.Series) -> pd.Series:
+    """Two distinct markers, or markers making up two fifths of the Latin words. By a set in Arrow batches: array functions look through the whole list for each word."""
+    return texts.map(is_banglish, na_action="ignore").astype(object)
 
 
 def detect_language(text: Column) -> Column:

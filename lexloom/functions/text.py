@@ -18,7 +18,7 @@ _INVISIBLE = "[​‌‍﻿]"
 
 @F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+    return texts.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
 def strip(text: Column) -> Column:
@@ -32,7 +32,7 @@ def squeeze(text: Column) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    """NFKC, then ``squeeze``. ASCII texts, which NFKC leaves alone, do not leave the JVM's string functions changed."""
+    """NFKC, which leaves ASCII texts alone, then ``squeeze``."""
     return squeeze(_nfkc(text))
 
 

@@ -212,7 +212,7 @@ def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(keyword_search(_docs(spark, sf_dir), _bench(spark, sf_dir), 10, (F.col("lang") == "en") & (F.col("source") == "src3"), digits=DIGITS))
 
 
-# Vectors: the first hundred ids ask, all rows answer (knn_batch: all ask)
+# Vectors: all rows answer
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,11 @@ import numpy as np
 import pytest
 from lexloom import Config, Engine
 from lexloom.errors import ConfigurationError, DocumentLoadError, IndexVersionError, RAGError, RetrievalError
-from lexloom.functions import answers, metrics as M
+from lexloom.functions import answers, language, metrics as M
 from lexloom.functions.chunking import split_text
 from lexloom.functions.embedding import hash_vectors
 from lexloom.functions.language import fold_text, phonetic_token, shorten, transliterate_text
+from lexloom.operators.dedup import first_of_each
 from lexloom.operators.filters import encode
 from lexloom.operators.fusion import fuse
 from lexloom.plans import evaluate
@@ -155,3 +156,16 @@ def test_answer_spans():
     for question, passage, want in cases:
         assert answers.extract(question, passage) == f"{want} [1]", question
     assert answers.trim_verbose("A. " * 200 + "End [2]").endswith("[2]") and answers.trim_verbose("short") == "short"
+
+
+def test_first_of_each(spark):
+    rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("", 1, "z"), ("", 1, "z"), (None, 3, "n"), ("b", None, "b"), ("b", 9, "c")], "content_hash string, seq long, `a.b` string")
+    got = sorted(tuple(r) for r in first_of_each(rows).fillna("-", subset=["content_hash"]).collect())
+    assert got == [("", 1, "z"), ("", 1, "z"), ("-", 3, "n"), ("a", 1, "y"), ("b", 9, "c")]
+    assert first_of_each(rows.limit(0)).count() == 0 and first_of_each(rows).columns == rows.columns
+
+
+@pytest.mark.parametrize("text,count,romanised", [("Ami bhalo achi", None, True), ("the capital of a country", 0, False), ("AMI xami amix", 1, False), ("", 0, False)])
+def test_markers(spark, text, count, romanised):
+    got = spark.range(1).select(language.marker_count(F.lit(text)).alias("n"), language.looks_banglish(F.lit(text)).alias("b")).first()
+    assert (count is None or got["n"] == count) and got["b"] == romanised
