@@ -44,6 +44,30 @@ def ndcg_at_k(relevant: Column, ranked: Column, k: int) -> Column:
     return F.when(n > 0, total(gains) / ideal).otherwise(0.0)
 
 
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
+def marked_hit(marks: Column, k: int) -> Column:
+    """The four metrics from ``marks``, which say of each id of a ranked list without repeats whether it is relevant, and ``n``, how many are: a task then needs no list of the relevant ids."""
+    return F.exists(_first(marks, k), lambda x: x).cast("double")
+
+
+def marked_recall(marks: Column, n: Column, k: int) -> Column:
+    return F.when(n > 0, F.size(F.filter(_first(marks, k), lambda x: x)) / n).otherwise(0.0)
+
+
+def marked_rr(marks: Column) -> Column:
+    at = F.array_position(marks, True)
+    return F.when(at > 0, 1 / at).otherwise(0.0)
+
+
+def marked_ndcg(marks: Column, n: Column, k: int) -> Column:
+    gains = F.transform(_first(marks, k), lambda x, i: F.when(x, 1 / F.log2(i + 2.0)).otherwise(0.0))
+    ideal = F.transform(F.sequence(F.lit(1), F.greatest(F.least(n, F.lit(k)), F.lit(1))), lambda i: 1 / F.log2(i + 1.0))
+    return F.when(n > 0, _total(gains) / _total(ideal)).otherwise(0.0)
+
+
 def word_set(text: Column) -> Column:
     """Distinct words that are not all digits."""
     return F.filter(F.array_distinct(tokens(text)), lambda t: ~t.rlike(r"^\p{Nd}+$"))

@@ -27,3 +27,25 @@ def test_more_queries_than_a_block(spark, monkeypatch, metric):
     plan = got._jdf.queryExecution().toString()
     assert "CartesianProduct" in plan and "Union" not in plan
     assert {(a.qid, a.seq, a.rank) for a in got.collect()} == _brute(x, seq, 7, metric)
+
+
+def test_metrics_keep_no_list_of_relevant_ids(spark, tmp_path):
+    """A row has its marks and a count; before, it had the ids of all rows of its label."""
+    from lexloom.plans import queries as own
+
+    r = np.random.default_rng(5)
+    labels = [0] * 30 + [1] * 15 + [2] + [None] * 4
+    spark.createDataFrame([(i, [float(e) for e in r.normal(size=4)], c) for i, c in enumerate(labels)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = own._ranked(spark, str(tmp_path))
+    assert rows.columns == ["qid", "marks", "n"]
+    assert {(a.qid, a.n, len(a.marks)) for a in rows.collect()} == {(i, 29 if i < 30 else 14, 10) for i in range(45)}
+
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("metrics_hit", "metrics_recall", "metrics_mrr", "metrics_ndcg", "metrics_means"):
+        got = own.queries()[name](spark, str(tmp_path))
+        rel = con.sql(own.oracle_sql()[name])
+        at = [rel.columns.index(c) for c in got.columns]
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(tuple(row[k] for k in at)) for row in rel.fetchall())
