@@ -49,3 +49,45 @@ def test_metrics_keep_no_list_of_relevant_ids(spark, tmp_path):
         rel = con.sql(own.oracle_sql()[name])
         at = [rel.columns.index(c) for c in got.columns]
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(tuple(row[k] for k in at)) for row in rel.fetchall())
+
+
+TEXTS = [(0, "The red fox, the RED fox"), (1, "a red hen"), (2, "ঢাকা বাংলাদেশের রাজধানী"), (3, "Éen eux_1 ouan Él"), (4, None), (5, ""), (6, "a red hen"), (7, "fox " * 40 + "hen"), (8, "ΌΣΟΣ İstanbul")]
+ASKED = [(0, "red fox fox"), (1, "hen ঢাকা"), (2, "él nothing"), (3, ""), (4, "όσος a")]
+
+
+@pytest.mark.parametrize("digits", [6, None])
+def test_scan_is_the_join_on_postings(spark, monkeypatch, digits):
+    """The scan shuffles no posting; before, one row for each word of each text was shuffled. With too many words the join still does the whole job."""
+    from lexloom.operators import keyword as K
+    from pyspark.sql import functions as F
+
+    chunks, asked = spark.createDataFrame(TEXTS, "seq long, text string"), spark.createDataFrame(ASKED, "qid long, query string")
+    rows = lambda df: sorted((a.qid, a.seq, round(a.score, 9), a.rank) for a in df.collect())
+    for keep in (None, F.col("seq") > 0):
+        got = K.keyword_search(chunks, asked, 2, keep, digits)
+        assert "explode" not in got._jdf.queryExecution().toString().lower()
+        monkeypatch.setattr(K, "BLOCK", 4)
+        monkeypatch.setattr(K, "TILE", 9)
+        small = K.keyword_search(chunks, asked, 2, keep, digits)
+        monkeypatch.setattr(K, "TERMS", 3)
+        want = K.keyword_search(chunks, asked, 2, keep, digits)
+        assert "explode" in want._jdf.queryExecution().toString().lower()
+        assert rows(got) == rows(small) == rows(want) != []
+        monkeypatch.undo()
+
+
+def test_words_are_those_of_the_column(spark):
+    from lexloom.functions.text import tokens, words
+
+    df = spark.createDataFrame(TEXTS, "seq long, text string").withColumn("w", tokens("text"))
+    assert all(r.w == words(r.text) for r in df.collect())
+
+
+def test_texts_meet_results_without_a_shuffle(spark):
+    """rerank_dice, refusal_gate and ask_answers: results are broadcast to the documents, whose texts were shuffled before."""
+    from lexloom.plans import queries as own
+
+    sf = "/root/testdata/sf0.001"
+    docs, asked = own._docs(spark, sf), own._bench(spark, sf)
+    plan = own._with_text(own.keyword_search(docs, asked, 3), docs, asked, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
